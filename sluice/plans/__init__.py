@@ -1,6 +1,6 @@
 """Named queries on the star-schema tables, each beside its SQL."""
 
-from . import activity, browse, decode, library, maintenance
+from . import activity, browse, catalog, decode, library, maintenance
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "activity", "browse", "decode", "library", "maintenance"]
+__all__ = ["QUERIES", "SQL", "activity", "browse", "catalog", "decode", "library", "maintenance"]
