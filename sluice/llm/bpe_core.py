@@ -49,12 +49,14 @@ class Bpe:
         self.pair: dict[tuple[int, int], int] = {}
         self.find = ahocorasick.Automaton()
         reachable = {}
+        self.trained = True  # every token is the merge of two of lower rank, as training makes them
         for piece, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self.token[rank] = piece
             if len(piece) > 1:
                 parts = merged(piece, ranks, rank)
                 if len(parts) != 2:
-                    continue  # no merges lead to it: only a whole match of the pattern can be this token
+                    self.trained = False
+                    continue
                 left, right = ranks[parts[0]], ranks[parts[1]]
                 self.halves[rank] = (left, right)
                 self.pair[left, right] = rank
@@ -99,6 +101,8 @@ class Bpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if not self.trained:  # borders don't follow from two tokens alone then: merge by rank
+            return [self.ranks[x] for x in merged(piece, self.ranks, len(self.token))]
         n = len(piece)
         longest: list[int] = [-1] * (n + 1)
         for end, (rank, size) in self.find.iter(piece.decode("latin-1")):

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simhash_core as core
@@ -100,16 +100,21 @@ def near_links(spark: SparkSession, distinct: DataFrame, tau: int = core.MAX_DIS
     return rows.mapInArrow(run, "a long, b long")
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = core.MAX_DISTANCE, hot_rows: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def _classified(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, tau: int, hot_rows: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; root is a fingerprint of the component."""
     fps, _ = materialise(spark, fingerprints(docs, id_col, text_col), "simhash-fp")
     reps, _ = materialise(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-reps")
     edges, _ = materialise(spark, near_links(spark, reps.select("fp"), tau, hot_rows=hot_rows), "simhash-edges")
     roots = connected_components(spark, edges).withColumnRenamed("node", "fp")
     linked = reps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     firsts = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes, _ = materialise(spark, linked.join(firsts, "root").select("fp", "component_id"), "simhash-classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes, _ = materialise(spark, linked.join(firsts, "root").select("fp", "root", "component_id"), "simhash-classes")
+    return fps.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = core.MAX_DISTANCE, hot_rows: int = HOT) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    return _classified(spark, docs, id_col, text_col, tau, hot_rows).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,19 +126,22 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one row for each component: the row with its smallest doc_id.
 
-    Rows of one component that repeat this doc_id are looked up in a narrow
-    table first; only where there are any, one of them (the first by text) is
-    picked by a window over those few ids. A component whose doc_ids are all
-    null keeps one row in the same way.
+    Where a doc_id stands in one row only, this id alone tells which row stays.
+    Rows that repeat a doc_id (null among them) are looked up in a narrow table
+    first; only where there are any, their fingerprints are made again beside
+    the rows, and of a component's rows with its smallest doc_id the one with
+    the smallest text stays, by an aggregate that combines before the shuffle.
     """
-    classes, _ = materialise(spark, simhash_components(spark, docs), "simhash-kept")
-    heads = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    heads = heads.groupBy(F.col("doc_id").alias("_head")).agg(F.max("n").alias("_n"))
+    classes, _ = materialise(spark, _classified(spark, docs, "doc_id", "text", core.MAX_DISTANCE, HOT), "simhash-kept")
+    is_head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = classes.groupBy(F.col("doc_id").alias("_head")).agg(F.count("*").alias("_n"), F.bool_or(is_head).alias("_any")).filter("_any").drop("_any")
     kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "inner")
     if heads.filter("_n > 1").isEmpty():
         return kept.select(docs.columns)
     once = kept.filter("_n = 1").select(docs.columns)
     fp = F.pandas_udf(lambda texts: texts.map(lambda x: core.fingerprint(x.encode() if x is not None else None)).astype("uint64").astype("int64"), "long")
-    more = kept.filter("_n > 1").withColumn("_fp", fp(F.col("text").cast("string"))).join(classes.select(F.col("fp").alias("_fp"), "component_id").distinct(), "_fp")
-    first = Window.partitionBy("component_id", "doc_id").orderBy("text")
-    return once.unionByName(more.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(docs.columns))
+    more = kept.filter("_n > 1").select(F.struct(*docs.columns).alias("_row"), fp(F.col("text").cast("string")).alias("fp"))
+    own = classes.select("fp", "root", "component_id").distinct()
+    more = more.join(own, "fp").filter(F.col("_row.doc_id").eqNullSafe(F.col("component_id")))
+    first = more.groupBy("root").agg(F.min_by("_row", F.struct(F.col("_row.text"))).alias("_row"))
+    return once.unionByName(first.select("_row.*"))
