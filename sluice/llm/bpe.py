@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_core import sha256, text_encoder
-from .common import groups_of, read_table
+from .common import read_table, text_groups
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,9 +32,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in groups_of(texts):
-                ids = [memoryview(x).cast("i").tolist() for x in encoder.encode(texts[a:b])]
+            for a, b, texts in text_groups(batch.column(1)):
+                ids = [memoryview(x).cast("i").tolist() for x in encoder.encode(texts)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -57,10 +56,9 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             sizes, ids_sha, text_sha = [], [], []
-            for a, b in groups_of(texts):
-                for packed in encoder.encode(texts[a:b]):
+            for _, _, texts in text_groups(batch.column(1)):
+                for packed in encoder.encode(texts):
                     sizes.append(len(packed) // 4)
                     ids_sha.append(sha256(packed))
                     text_sha.append(sha256(encoder.decode(packed)))

@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of a batch are handled in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,19 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """(begin, end, texts) of a string column in groups of about limit bytes; null is empty. Only one group's texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    begin = size = 0
+    for k, n in enumerate(sizes):
+        if size and size + n > limit:
+            yield begin, k, [x or "" for x in column.slice(begin, k - begin).to_pylist()]
+            begin, size = k, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes), [x or "" for x in column.slice(begin).to_pylist()]
+
+
 def groups_of(texts: list, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges that hold about limit bytes (characters) each; a longer text is a group of its own."""
     begin = size = 0

@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, groups_of, materialise, read_table
+from .common import materialise, read_table, text_groups
 from .words import grams, words_of
 
 #: Words in a seed, neighbouring n-grams of which one becomes a seed, UTF-8 bytes of items in one block.
 N, WINDOW, BLOCK_BYTES = 5, 4, 4 << 20
 #: Score from which a document counts as contaminated.
 THRESHOLD = 0.5
+#: Bytes of text whose words are found at once.
+_GROUP = 1 << 20
 _ONE = 1 << 24  # alignment cells hold score * 2^24 + (2^24 - 1 - first word)
 
 
@@ -169,9 +171,7 @@ def _block(spark: SparkSession, texts: DataFrame, rows: list, threshold: float)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1).to_pylist()
-            for a, b in groups_of(column):
-                held = [x or "" for x in column[a:b]]
+            for a, _, held in text_groups(batch.column(1), _GROUP):
                 got = list(passages_of(held, shared.value))
                 yield pa.record_batch(
                     [

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import groups_of, id_crc, materialise, n_shuffle, read_table
+from .common import id_crc, n_shuffle, read_table, text_groups
 from .language_core import TOP, Profiles, gram_counts
 
 PER_LANGUAGE, LANGUAGES = 1000, 1000
@@ -48,9 +48,9 @@ def fit_profiles(spark: SparkSession, labelled: DataFrame, per_language: int = P
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ks = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for a, b in groups_of(texts, _GROUP):
-                k, gram, n = gram_counts(texts[a:b], ks[a:b])
+            ks = batch.column(0).to_numpy()
+            for a, b, texts in text_groups(batch.column(1), _GROUP):
+                k, gram, n = gram_counts(texts, ks[a:b])
                 yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(gram), pa.array(n)], names=["k", "gram", "n"])
 
     counts = sample.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
@@ -72,10 +72,9 @@ def identify(spark: SparkSession, docs: DataFrame, profiles: Profiles, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             names, scores = [], []
-            for a, b in groups_of(texts, _GROUP):
-                name, score = shared.value.predict(texts[a:b])
+            for _, _, texts in text_groups(batch.column(1), _GROUP):
+                name, score = shared.value.predict(texts)
                 names += name
                 scores += score
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -105,10 +104,9 @@ def keep_known(spark: SparkSession, docs: DataFrame, min_score: float = MIN_SCOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
             keep: list[bool] = []
-            for a, b in groups_of(texts, _GROUP):
-                name, score = shared.value.predict(texts[a:b])
+            for _, _, texts in text_groups(batch.column(at), _GROUP):
+                name, score = shared.value.predict(texts)
                 keep += [n != "und" and s >= min_score for n, s in zip(name, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 # White space as the tokenizers' patterns know it: what Python calls white space, less U+001C to U+001F.
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -10,7 +12,7 @@ _PIECE_ODD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _WORD_ODD = re.compile(r"[\S\x1c-\x1f]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 #: Entries of a memo (a worker process keeps one); longer pieces and those that come later are worked out anew.
-MEMO, LONGEST = 400_000, 64
+MEMO, LONGEST = 300_000, 64
 
 
 def safe_pieces(text: str) -> list[str]:
@@ -31,33 +33,25 @@ def words(text: str) -> list[str]:
 class Memo(dict):
     """What each piece gives; bounded. make takes a list of new pieces and returns what they give."""
 
-    def __init__(self, make, limit: int = MEMO) -> None:
+    def __init__(self, make: Callable[[list[str]], list], limit: int = MEMO) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 
-    def learn(self, lists: list[list[str]]) -> dict:
-        """Results for all pieces of the lists: this memo, or one for this call alone where it can't hold them."""
-        new = set()
-        for pieces in lists:
-            new.update(pieces)
-        new = [x for x in new if x not in self]
+    def learn(self, lists: Iterable[Iterable[str]]) -> dict:
+        """Results for all pieces of the lists: this memo, or a larger one for this call alone where it can't hold them."""
+        new = set().union(*lists)
+        new.difference_update(self)
         if not new:
             return self
-        made = dict(zip(new, self.make(new), strict=True))
+        pieces = list(new)
+        made = dict(zip(pieces, self.make(pieces), strict=True))
         room = self.limit - len(self)
-        short = {k: v for k, v in made.items() if len(k) <= LONGEST}
-        if len(short) == len(made) and len(made) <= room:
+        short = made if max(map(len, pieces)) <= LONGEST else {k: v for k, v in made.items() if len(k) <= LONGEST}
+        if short is made and len(made) <= room:
             self.update(made)
             return self
+        known = dict(self)
+        known.update(made)
         if room > 0:
-            self.update(list(short.items())[:room])
-        return _Both(self, made)
-
-
-class _Both(dict):
-    def __init__(self, memo: Memo, made: dict) -> None:
-        super().__init__(made)
-        self.memo = memo
-
-    def __missing__(self, key: str):
-        return self.memo[key]
+            self.update(islice(short.items(), room))
+        return known

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf_core
-from .common import groups_of, id_crc, read_table
+from .common import id_crc, read_table, text_groups
 
 PER_CLASS = 1500
 
@@ -50,11 +50,10 @@ def score(spark: SparkSession, docs: DataFrame, crf: crf_core.Crf | None, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            out = np.full(len(texts), 0.5)
+            out = np.full(batch.num_rows, 0.5)
             if shared.value is not None:
-                for a, b in groups_of(texts, 1 << 20):
-                    out[a:b] = shared.value.score(texts[a:b])
+                for a, b, texts in text_groups(batch.column(1), 1 << 20):
+                    out[a:b] = shared.value.score(texts)
             yield pa.record_batch([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -2,7 +2,7 @@
 
 Arrow functions send (doc_id, text) batches to Python and return lengths only.
 For the byte-level vocabularies every text is cut at safe boundaries (before
-white space that follows something else); a group of texts of about 4 MB gives
+white space that follows something else); a group of texts of about 2 MB gives
 one set of distinct pieces, which go to the library in batches of about equal
 bytes, and a bounded memo keeps the counts of pieces seen before. So memory
 doesn't follow the length of a text or the number of documents. Other
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_of, read_table
+from .common import groups_of, read_table, text_groups
 from .pieces import Memo, safe_pieces
 
 #: Bytes that one call of the library gets at most, unless one piece alone has more.
@@ -78,10 +78,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             tokens: list[int] = []
-            for a, b in groups_of(texts):
-                tokens += count(texts[a:b])
+            for _, _, texts in text_groups(batch.column(1)):
+                tokens += count(texts)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.col(text_col).cast("string")
