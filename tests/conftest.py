@@ -13,7 +13,7 @@ DATA = os.environ.get("SLUICE_DATA", "/root/testdata/sf0.001")
 def spark():
     from sluice.session import session
 
-    s = session("local[4]", "tests", 4, **{"spark.driver.memory": "3g"})
+    s = session("local[4]", "tests", 3, **{"spark.driver.memory": "3g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
