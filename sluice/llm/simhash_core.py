@@ -128,6 +128,7 @@ def allocate(costs: list[list[float]], tau: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, n: int, tau: int = MAX_DISTANCE) -> list[tuple[int, int, list[int]]]:
     """(mask, threshold, flips) of each part that is used, for n distinct fingerprints; flips[0] is 0."""
+    n = max(n, 1)  # an empty table would make every plan cost nothing, the one with most signatures too
     best = None
     for m in range(2, 7):
         parts = arrange(sample, m)
