@@ -17,6 +17,7 @@ columns are not read. An empty table gives an empty store.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import groups_of, materialise, n_shuffle, read_table
+from .common import groups_of, materialise, n_shuffle, read_table, text_groups
 from .pieces import Memo, words
 
 #: Ids in a segment, more or less; the id that ends each document.
@@ -37,21 +38,49 @@ FORMAT = "part int, segment int, first long, n_tokens long, doc_ids binary, size
 _NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
+#: A word of Latin letters (as Latin-1 has them) and ASCII marks after it: two matches of the pattern, each encoded on its own.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+#: Characters that one call of the library gets.
+_CALL = 1 << 16
+
+
+def _joined(library, parts: list[str]) -> list[bytes]:
+    """Ids of each part, encoded together as one text with blanks between; offsets tell whose a token is."""
+    out: list[bytes] = []
+    for a, b in groups_of(parts, _CALL):
+        group = parts[a:b]
+        found = library.encode(" ".join(group), add_special_tokens=False)
+        sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
+        starts = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+        ids = np.array(found.ids, np.uint32)
+        cuts = np.searchsorted(starts, np.cumsum(sizes)[:-1])
+        out += [x.tobytes() for x in np.split(ids, cuts)]
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """From texts to ids (uint32, as bytes), for a vocabulary that drops white space and works between it."""
+    """From texts to ids (uint32, as bytes), for a vocabulary that drops white space and works between it.
+
+    What stands between white space is looked up in a memo. A plain word with
+    marks after it that is new there is put together from the word in lower
+    case and the marks, which have a memo of their own; what is new in that
+    goes to the library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
+    matches = Memo(lambda parts: _joined(library, parts))
 
     def encode(parts: list[str]) -> list[bytes]:
-        out = []
-        for a, b in groups_of(parts, 1 << 18):
-            out += [np.array(x.ids, np.uint32).tobytes() for x in library.encode_batch_fast(parts[a:b], add_special_tokens=False)]
-        return out
+        found = list(map(_PLAIN.fullmatch, parts))
+        heads = [m[1].lower() if m else x for m, x in zip(found, parts, strict=True)]
+        marks = [m[2] if m else "" for m in found]
+        known = matches.learn((heads, marks))
+        return [known[h] + known[m] if m else known[h] for h, m in zip(heads, marks, strict=True)]
 
     memo = Memo(encode)
 
@@ -83,9 +112,8 @@ def build_store(spark: SparkSession, docs: DataFrame, path: str, end_id: int = E
         schema = pa.schema(list(zip(names, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)))
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in groups_of(texts):
-                for doc_id, packed in zip(doc_ids[a:b], make(texts[a:b]), strict=True):
+            for a, b, texts in text_groups(batch.column(1)):
+                for doc_id, packed in zip(doc_ids[a:b], make(texts), strict=True):
                     ids.append(_NO_ID if doc_id is None else doc_id)
                     held.append(packed + end)
                     size += len(packed) // 4 + 1
