@@ -1,4 +1,4 @@
-"""Line features and a two-state linear-chain CRF (no Spark here)."""
+"""Line features and a two-state linear-chain CRF (no Spark session here)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import groups_of
 from .words import code_points, power_tables
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _OTHER, _SYMBOL = range(1, 8)
@@ -79,6 +80,12 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return own, length, n_lines
 
 
+def features_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features() of many texts, a megabyte at a time."""
+    parts = [line_features(texts[a:b]) for a, b in groups_of(texts, 1 << 20)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def with_neighbours(own: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     """Each line's features beside those of the line before and after; zeros and a mark where there is none."""
     n = len(own)
@@ -141,7 +148,9 @@ class Crf:
 
     def raw(self, texts: list[str]) -> np.ndarray:
         """Length-weighted mean of each text's line marginals; all lines count alike where all are empty."""
-        own, length, n_lines = line_features(texts)
+        return self.pooled(*line_features(texts))
+
+    def pooled(self, own: np.ndarray, length: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
         good = self.lines(own, n_lines)
         begins = np.cumsum(n_lines) - n_lines
         weight = np.add.reduceat(length, begins)
@@ -157,7 +166,7 @@ class Crf:
 
 def fit(texts: list[str], good: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Crf:
     """Maximum likelihood with a ridge; every line has its document's label. Classes weigh alike."""
-    own, length, n_lines = line_features(texts)
+    own, length, n_lines = features_of_all(texts)
     mean, scale = own.mean(axis=0), own.std(axis=0)
     scale[scale < 1e-9] = 1
     x = with_neighbours((own - mean) / scale, n_lines)
@@ -183,13 +192,13 @@ def fit(texts: list[str], good: np.ndarray, rounds: int = 150, ridge: float = 1e
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p += 0.1 * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
-    _calibrate(crf, texts, good)
+    _calibrate(crf, crf.pooled(own, length, n_lines), good)
     return crf
 
 
-def _calibrate(crf: Crf, texts: list[str], good: np.ndarray) -> None:
+def _calibrate(crf: Crf, raw: np.ndarray, good: np.ndarray) -> None:
     """Platt's two numbers, by Newton steps with smoothed targets."""
-    q = np.clip(crf.raw(texts), 1e-6, 1 - 1e-6)
+    q = np.clip(raw, 1e-6, 1 - 1e-6)
     z = np.log(q / (1 - q))
     n1, n0 = good.sum(), (1 - good).sum()
     target = np.where(good == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
