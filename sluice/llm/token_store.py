@@ -40,8 +40,8 @@ _NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 #: A word of Latin letters (as Latin-1 has them) and ASCII marks after it: two matches of the pattern, each encoded on its own.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
-#: Characters that one call of the library gets.
-_CALL = 1 << 16
+#: Characters that one call of the library gets; bytes of text whose words are looked up together; words that the memo of whole parts holds.
+_CALL, _GROUP, _PARTS = 1 << 16, 4 << 20, 500_000
 
 
 def _joined(library, parts: list[str]) -> list[bytes]:
@@ -52,9 +52,9 @@ def _joined(library, parts: list[str]) -> list[bytes]:
         found = library.encode(" ".join(group), add_special_tokens=False)
         sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
         starts = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
-        ids = np.array(found.ids, np.uint32)
-        cuts = np.searchsorted(starts, np.cumsum(sizes)[:-1])
-        out += [x.tobytes() for x in np.split(ids, cuts)]
+        packed = np.array(found.ids, np.uint32).tobytes()
+        cuts = (4 * np.searchsorted(starts, np.cumsum(sizes))).tolist()
+        out += [packed[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
     return out
 
 
@@ -82,7 +82,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         known = matches.learn((heads, marks))
         return [known[h] + known[m] if m else known[h] for h, m in zip(heads, marks, strict=True)]
 
-    memo = Memo(encode)
+    memo = Memo(encode, _PARTS)
 
     def whole(texts: list[str]) -> list[bytes]:
         lists = [words(t) for t in texts]
@@ -112,7 +112,7 @@ def build_store(spark: SparkSession, docs: DataFrame, path: str, end_id: int = E
         schema = pa.schema(list(zip(names, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)))
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, texts in text_groups(batch.column(1)):
+            for a, b, texts in text_groups(batch.column(1), _GROUP):
                 for doc_id, packed in zip(doc_ids[a:b], make(texts), strict=True):
                     ids.append(_NO_ID if doc_id is None else doc_id)
                     held.append(packed + end)
