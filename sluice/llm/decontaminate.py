@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text; only one
 block at a time is sent to the executors. For each block
@@ -7,16 +7,15 @@ block at a time is sent to the executors. For each block
    items have, and keeps the passages around them (hits closer than the longest
    item go together, with that many words on both sides), as word hashes, in a
    table in the shared folder;
-2. the passages with each n-gram are counted over the whole corpus; in every
-   window of ``WINDOW`` neighbouring n-grams an item keeps the rarest as its
-   seed, so a copied run of N + WINDOW - 1 words always has a seed;
-3. each passage is aligned with the items whose seeds it has (local alignment
-   of words: match 2, mismatch and gap -1); the score is the share of what the
-   whole item would score against itself.
+2. each passage is aligned with every item that has one of its n-grams: every
+   n-gram is a seed, so no choice of seeds loses a pair, and one copied run of N
+   words is enough (local alignment of words: match 2, mismatch and gap -1);
+   the score is the share of what the whole item would score against itself.
 
 No shuffle moves a text and no hot passage meets in one task: the passages stay
-where the scan wrote them. Nothing is capped; a seed that a third of the
-documents share still makes its candidates.
+where the scan wrote them. Nothing is capped; an n-gram that a third of the
+documents share still makes its candidates. Copies without a run of N words
+in common with their item are not found.
 
 Words are runs of letters and digits, lower-cased. Null and empty texts and
 items without a word match nothing. Items of fewer than N words are sought
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table, text_groups
 from .words import grams, words_of
 
-#: Words in a seed, neighbouring n-grams of which one becomes a seed, UTF-8 bytes of items in one block.
-N, WINDOW, BLOCK_BYTES = 5, 4, 4 << 20
+#: Words in a seed, UTF-8 bytes of items in one block.
+N, BLOCK_BYTES = 5, 4 << 20
 #: Score from which a document counts as contaminated.
 THRESHOLD = 0.5
 #: Bytes of text whose words are found at once.
@@ -60,8 +59,11 @@ class Items:
                 self.words.append(hashes[a:b])
                 self.lengths.add(size)
                 grams_of.append(grams(hashes[a:b], size))
-        self.grams = grams_of
-        self.all = np.unique(np.concatenate(grams_of)) if grams_of else np.empty(0, np.uint64)
+        every = np.concatenate(grams_of) if grams_of else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(grams_of)), [len(g) for g in grams_of])[order]  # items by place, in the order of their n-grams
+        self.all, begins = np.unique(every[order], return_index=True)
+        self.begins = np.r_[begins, len(every)]
         self.reach = max(map(len, self.words), default=0)
         self.sieve = np.zeros(1 << 22, np.bool_)
         self.sieve[self.all >> np.uint64(42)] = True
@@ -73,15 +75,10 @@ class Items:
         k = np.minimum(np.searchsorted(self.all, found), len(self.all) - 1)
         return at[self.all[k] == found]
 
-    def seeds(self, counts: dict[int, int], window: int = WINDOW) -> dict[int, list[int]]:
-        """Items (by place) of each seed: in every window of an item's n-grams the one with the smallest corpus count."""
-        out: dict[int, list[int]] = {}
-        for k, own in enumerate(self.grams):
-            order = [(counts.get(int(np.int64(g.view(np.int64))), 0), int(g)) for g in own]
-            chosen = {min(order[i : i + window])[1] for i in range(max(1, len(order) - window + 1))}
-            for g in chosen:
-                out.setdefault(g, []).append(k)
-        return out
+    def of(self, hits: np.ndarray) -> list[int]:
+        """Items (by place) that have any of these n-grams of the block."""
+        k = np.searchsorted(self.all, hits)
+        return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(self.begins[k].tolist(), self.begins[k + 1].tolist(), strict=True)])).tolist()
 
 
 def passages_of(texts: list[str], items: Items) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -184,8 +181,6 @@ def _block(spark: SparkSession, texts: DataFrame, rows: list, threshold: float)
                 )
 
     passages, _ = materialise(spark, texts.mapInArrow(scan, "doc_id long, first long, words binary, hits array<long>"), "decontaminate-passages")
-    counts = {r.g: r.n for r in passages.select(F.explode("hits").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most one row for each n-gram of the block
-    seeds = spark.sparkContext.broadcast(items.seeds(counts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +188,7 @@ def _block(spark: SparkSession, texts: DataFrame, rows: list, threshold: float)
             firsts = batch.column(1).to_pylist()
             by_item: dict[int, list[int]] = {}
             for k, hits in enumerate(batch.column(3).to_pylist()):
-                for item in {i for g in hits for i in seeds.value.get(g % (1 << 64), ())}:
+                for item in shared.value.of(np.array(hits, np.int64).view(np.uint64)):
                     by_item.setdefault(item, []).append(k)
             rows, ids, scores, begins, ends = [], [], [], [], []
             for item, members in by_item.items():

@@ -293,6 +293,29 @@ def test_copied_edited_and_clean(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_edits_everywhere_equal_brute_force(spark):
+    """Every 6th to 8th word replaced, intact copies and lone runs of the items elsewhere: each pair that shares five words scores as brute force says."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [filler(30 + k) for k in range(12)]
+    bodies = [[w if k % step != step - 1 else f"edit{k}" for k, w in enumerate(item)] for item in items for step in (6, 7, 8)] + items[:4] + [item[:20] for item in items]
+    texts = [[*filler(70), *body, *filler(70)] for body in bodies]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    runs = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    number = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    want = {}
+    for i, item in enumerate(items):
+        near = [k for k, t in enumerate(texts) if runs(t) & runs(item)]
+        for k in near:
+            score = brute_align([number[w] for w in texts[k]], [number[w] for w in item]) / (2 * len(item))
+            if score >= decontaminate.THRESHOLD:
+                want[k, i] = score
+    assert len(want) >= 3 * len(items)
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(spark, d, b).collect()} == want
+
+
 def test_all_exact_leaks_are_found(spark, real):
     items = {r.item_id: r.text for r in read_table(spark, DATA, "benchmark").collect()}
     leaks = {(r.doc_id, k) for r in real.collect() for k, t in items.items() if t in r.text}
