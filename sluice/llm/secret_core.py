@@ -65,17 +65,6 @@ class Language:
     steps: dict = field(default_factory=dict)
     floor: float = -8.0
 
-    @classmethod
-    def learn(cls, counts: dict[str, int], most: int = 20_000) -> Language:
-        kept = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
-        pairs: Counter = Counter()
-        firsts: Counter = Counter()
-        for w in kept:
-            for a, b in zip("^" + w, w + "$", strict=True):
-                pairs[a + b] += 1
-                firsts[a] += 1
-        return cls(frozenset(kept), {p: math.log(n / firsts[p[0]]) for p, n in pairs.items()})
-
     def likelihood(self, value: str) -> float:
         """Mean log probability of the value's character transitions."""
         low = value.lower()

@@ -4,10 +4,15 @@ Candidates are values beside a key (password, token ...), private key blocks,
 and runs of 16 or more key characters with a digit. The forest sees length and
 character make-up, the likelihood of the character transitions under ordinary
 words, how much a dictionary covers, the path (the source column) and the
-neighbouring words. Dictionary and transitions are learnt from at most
-``SAMPLE`` documents, drawn by the hash of doc_id; the forest from labelled
-findings: rows (value, before, after, path, label) that the caller gives, or
-those of secret_core.labelled_findings().
+neighbouring words. Dictionary and transitions come from all documents, counted
+on the executors: the dictionary has the words of two documents or more, the
+transitions come from every word, as often as documents have it. The driver and
+each worker hold at most ``MOST`` words and ``MOST`` transitions; beyond that
+the threshold rises to the lowest count that this many reach. Words longer than
+a feature can look up (``secret_core.AROUND`` characters) are left out of the
+dictionary. The forest learns from labelled findings: rows (value, before,
+after, path, label) that the caller gives, or those of
+secret_core.labelled_findings().
 
 Null and empty texts have no candidates; null paths count as empty. Positions
 count characters. Repeated rows each have their findings. A document's other
@@ -18,6 +23,7 @@ give empty results.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,9 +35,11 @@ from pyspark.sql import functions as F
 
 from . import forest
 from . import secret_core as core
-from .common import read_table
+from .common import discard, materialise, read_table, text_groups
 
-SAMPLE, THRESHOLD = 1000, 0.5
+#: Words and transitions that a model holds at most, words that a task holds while it counts.
+MOST, _HELD = 300_000, 200_000
+THRESHOLD = 0.5
 MASK = "[SECRET]"
 _WORDS = re.compile(r"[^\W\d_]{4,}")
 
@@ -50,22 +58,66 @@ class Model:
         return [[(a, b, next(scores)) for a, b in s] for s in spans]
 
 
-def fit(spark: SparkSession, docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, sample: int = SAMPLE) -> Model:
-    """A model from a bounded sample of docs and labelled findings."""
-    drawn = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    ids = drawn.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = drawn.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(sample)  # at most sample ids
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n): the documents with each word; counted in bounded tables before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: Counter = Counter()
         for batch in batches:
-            got: Counter = Counter()
-            for x in batch.column(1).to_pylist():
-                got.update(w.lower() for w in _WORDS.findall(x))
-            yield pa.record_batch([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["word", "n"])
+            for _, _, held in text_groups(batch.column(0)):
+                for x in held:
+                    got.update({w.lower() for w in _WORDS.findall(x)})
+                if len(got) > _HELD:
+                    yield _counted(got)
+                    got = Counter()
+        yield _counted(got)
+
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _transitions(words: DataFrame) -> DataFrame:
+    """(word, n): the character pairs of the words, ends marked, each word as often as documents have it."""
 
-    words = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(20_000)
-    counts = {r.word: r.n for r in words.collect()}
-    language = core.Language.learn(counts)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: Counter = Counter()
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for a, b in zip("^" + w, w + "$", strict=True):
+                    got[a + b] += n
+            yield _counted(got)
+
+    return words.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counted(got: Counter) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["word", "n"])
+
+
+def _frequent(counts: DataFrame, least: int, most: int) -> dict[str, int]:
+    """The rows (word, n) with n of at least least, or of the lowest threshold above it that most rows reach at the most."""
+    sizes = counts.filter(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
+    total, threshold = 0, least
+    for k, r in enumerate(sizes):
+        total += r.rows
+        if total > most:
+            threshold = sizes[k - 1].n if k else r.n + 1
+            break
+    return {r.word: r.n for r in counts.filter(F.col("n") >= threshold).collect()}
+
+
+def fit(spark: SparkSession, docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, sample: int | None = None, most: int = MOST) -> Model:
+    """A model from the words of all docs (or of a sample, where one is asked for) and labelled findings."""
+    drawn = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    if sample is not None:
+        ids = drawn.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        drawn = drawn.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(sample)  # at most sample ids
+    words, words_at = materialise(spark, _word_counts(drawn.select("text")), "secrets-words")
+    pairs, pairs_at = materialise(spark, _transitions(words), "secrets-transitions")
+    counts = _frequent(words.filter(F.length("word") <= core.AROUND), 2, most)
+    firsts = {r.a: r.n for r in pairs.groupBy(F.substring("word", 1, 1).alias("a")).agg(F.sum("n").alias("n")).collect()}
+    language = core.Language(frozenset(counts), {p: math.log(n / firsts[p[0]]) for p, n in _frequent(pairs, 1, most).items()})
+    discard(spark, words_at)
+    discard(spark, pairs_at)
     given = findings if findings is not None else core.labelled_findings(sorted(counts, key=lambda w: (-counts[w], w))[:2000])
     x = np.array([core.features(v, b, a, p, language) for v, b, a, p, _ in given], np.float64)
     return Model(language, forest.fit(x, np.array([label for *_, label in given])))

@@ -90,6 +90,25 @@ def test_scan_and_redact(spark, docs, secret_model):
     assert bag(secrets.redact(spark, docs, secret_model).collect()) == bag(docs.collect())
 
 
+def test_dictionary_and_transitions_are_of_all_documents(spark):
+    """25,000 words in two documents each, one word in every and one in a single document; more documents than a thousand."""
+    rng = random.Random(8)
+    vocabulary = sorted({"".join(rng.choice("abcdefghijklm") for _ in range(8)) for _ in range(25_200)})[:25_000]
+    texts = [" ".join(["Every", *vocabulary[k::1250]]) for k in range(1250)] * 2 + ["every solitary", None, ""]
+    df = spark.createDataFrame([(k if k % 7 else None, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA).repartition(5)
+    model = secrets.fit(spark, df)
+    assert model.language.words == {*vocabulary, "every"}
+    pairs: dict[str, int] = {}
+    for w, n in [*((w, 2) for w in vocabulary), ("every", 2501), ("solitary", 1)]:
+        for a, b in zip("^" + w, w + "$", strict=True):
+            pairs[a + b] = pairs.get(a + b, 0) + n
+    firsts = {a: sum(n for p, n in pairs.items() if p[0] == a) for a in {p[0] for p in pairs}}
+    assert model.language.steps.keys() == pairs.keys()
+    assert all(abs(model.language.steps[p] - np.log(n / firsts[p[0]])) < 1e-12 for p, n in pairs.items())
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 2), ("e", 1)], "word string, n long")
+    assert [sorted(secrets._frequent(counts, 2, most)) for most in (9, 4, 3, 2, 0)] == [list("abcd"), list("abcd"), list("abc"), ["a"], []]
+
+
 def test_all_planted_tokens_are_found(spark, real, secret_model):
     rng, planted, rows = random.Random(12), set(), []
     for r in real.limit(60).collect():
