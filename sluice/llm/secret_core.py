@@ -17,7 +17,7 @@ _SET = np.zeros(256, np.bool_)
 _SET[[ord(c) for c in string.ascii_letters + string.digits + "_+/=-"]] = True
 _DIGITS = np.zeros(256, np.bool_)
 _DIGITS[48:58] = True
-_KEYED = re.compile(r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[a-z_-]{0,16}["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["'`]?([^\s"'`,;]{6,512})""", re.IGNORECASE)
+_KEYED = re.compile(r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[a-z_-]{0,16}["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["'`]?([^\s"'`,;]{6,})""", re.IGNORECASE)
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ|SG\.|npm_|-----BEGIN)")
 _SECRETIVE = re.compile(r"pass|pwd|secret|token|credential|key|auth|bearer|private|login|signin", re.IGNORECASE)

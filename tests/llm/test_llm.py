@@ -72,6 +72,12 @@ def test_candidates_are_character_spans():
     assert secret_core.candidates("") == []
 
 
+def test_long_values_are_whole():
+    for value in (".".join(["eyJ0k3n" * 20] * 12), "%2Fq7".join(["ab"] * 300)):
+        text = f"see api_key = '{value}', then"
+        assert [text[a:b] for a, b in secret_core.candidates(text)] == [value]
+
+
 def test_held_out_findings(spark, secret_model):
     held = secret_core.labelled_findings(["some", "other", "words", "here"], 600, seed=99)
     x = np.array([secret_core.features(v, b, a, p, secret_model.language) for v, b, a, p, _ in held])
