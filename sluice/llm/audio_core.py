@@ -121,22 +121,23 @@ class Features:
     energy: np.ndarray
     spans: list[tuple[float, float]]
 
-    def patches(self) -> np.ndarray:
+    def patches(self, dtype: type = np.float32) -> np.ndarray:
         """(n, PATCH, MELS), the last one filled up with the filterbank's floor."""
         n = -(-len(self.mel) // PATCH)
-        out = np.full((n * PATCH, MELS), np.log(np.float32(1e-6)), np.float32)
+        out = np.full((n * PATCH, MELS), np.log(np.float32(1e-6)), dtype)
         out[: len(self.mel)] = self.mel
         return out.reshape(n, PATCH, MELS)
 
     def patch_spans(self) -> list[tuple[float, float]]:
         return [(k * HOP / RATE, (min(k + PATCH, len(self.mel)) - 1) * HOP / RATE + FRAME / RATE) for k in range(0, len(self.mel), PATCH)]
 
-    def digest(self) -> str:
-        """Frames, segments and their seconds, and mean and spread of eight bands."""
-        bands = self.mel.reshape(len(self.mel), 8, -1).mean(axis=2, dtype=np.float64)
-        total = sum(b - a for a, b in self.spans)
-        part = lambda v: ",".join(f"{y:.3f}" for y in v.tolist())
-        return f"frames={len(self.mel)};segments={len(self.spans)};seconds={total:.3f};mean={part(bands.mean(axis=0))};spread={part(bands.std(axis=0))}"
+
+def digest(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
+    """Frames, segments and their seconds, and mean and spread of eight bands."""
+    bands = mel.reshape(len(mel), 8, -1).mean(axis=2, dtype=np.float64)
+    total = sum(b - a for a, b in spans)
+    part = lambda v: ",".join(f"{y:.3f}" for y in v.tolist())
+    return f"frames={len(mel)};segments={len(spans)};seconds={total:.3f};mean={part(bands.mean(axis=0))};spread={part(bands.std(axis=0))}"
 
 
 def analyse(data: bytes) -> Features:

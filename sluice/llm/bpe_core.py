@@ -39,7 +39,12 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
 
 
 class Bpe:
-    """A vocabulary of ranks. encode() gives what merging by rank gives."""
+    """A vocabulary of ranks. encode() gives what merging by rank gives.
+
+    Every token must be the merge of two tokens of lower rank, as training makes
+    them: only then does a border's fate follow from the two tokens beside it.
+    Another vocabulary raises ValueError.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -49,14 +54,12 @@ class Bpe:
         self.pair: dict[tuple[int, int], int] = {}
         self.find = ahocorasick.Automaton()
         reachable = {}
-        self.trained = True  # every token is the merge of two of lower rank, as training makes them
         for piece, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self.token[rank] = piece
             if len(piece) > 1:
                 parts = merged(piece, ranks, rank)
                 if len(parts) != 2:
-                    self.trained = False
-                    continue
+                    raise ValueError(f"token {rank} ({piece!r}) isn't the merge of two tokens of lower rank, as training makes them")
                 left, right = ranks[parts[0]], ranks[parts[1]]
                 self.halves[rank] = (left, right)
                 self.pair[left, right] = rank
@@ -101,8 +104,6 @@ class Bpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if not self.trained:  # borders don't follow from two tokens alone then: merge by rank
-            return [self.ranks[x] for x in merged(piece, self.ranks, len(self.token))]
         n = len(piece)
         longest: list[int] = [-1] * (n + 1)
         for end, (rank, size) in self.find.iter(piece.decode("latin-1")):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,21 +21,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset in local mode (tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine is shared."""
+    return master == "local" or master.startswith("local[")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A place in the shared folder, below the application's id, that nothing has been written to."""
+    return f"{shared_root(spark)}/sluice/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df below the shared folder; returns the table read from there, and its path.
 
     This cuts the lineage: a lost executor costs no more than the tasks that
     read the table, and what was costly to make is made once.
     """
-    path = f"{shared_root(spark)}/sluice/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -65,11 +77,18 @@ def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[in
         yield begin, len(sizes), [x or "" for x in column.slice(begin).to_pylist()]
 
 
+def utf8_size(text: str | bytes | None) -> int:
+    """Bytes of a text in UTF-8."""
+    if not text:
+        return 0
+    return len(text) if isinstance(text, bytes) or text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def groups_of(texts: list, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges that hold about limit bytes (characters) each; a longer text is a group of its own."""
+    """Index ranges that hold about limit bytes each; a longer text is a group of its own."""
     begin = size = 0
     for k, text in enumerate(texts):
-        n = len(text) if text else 0
+        n = utf8_size(text)
         if size and size + n > limit:
             yield begin, k
             begin, size = k, 0
@@ -85,3 +104,20 @@ def id_crc(doc_id: str | Column) -> Column:
 
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def n_parts(spark: SparkSession, size: int, per_part: int = 64 << 20) -> int:
+    """Partitions for a shuffle of size bytes: the session's number, more where these would hold over per_part bytes each."""
+    return max(n_shuffle(spark), -(-int(size) // per_part))
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened where a caller's column has one of them (in any case, as Spark compares them)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -7,7 +7,6 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import groups_of
 from .words import code_points, power_tables
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _OTHER, _SYMBOL = range(1, 8)
@@ -80,12 +79,6 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return own, length, n_lines
 
 
-def features_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """line_features() of many texts, a megabyte at a time."""
-    parts = [line_features(texts[a:b]) for a, b in groups_of(texts, 1 << 20)]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
 def with_neighbours(own: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     """Each line's features beside those of the line before and after; zeros and a mark where there is none."""
     n = len(own)
@@ -128,6 +121,16 @@ class Crf:
     shift: float = 0.0
     slope: float = 1.0
 
+    def pack(self) -> np.ndarray:
+        """All numbers in one array."""
+        return np.concatenate([self.mean, self.scale, self.weights, self.trans.ravel(), self.begin, [self.shift, self.slope]])
+
+    @staticmethod
+    def unpack(numbers: np.ndarray) -> Crf:
+        n = len(NAMES)
+        mean, scale, weights, trans, begin, rest = np.split(np.asarray(numbers, np.float64), np.cumsum([n, n, 3 * n + 3, 4, 2]))
+        return Crf(mean, scale, weights, trans.reshape(2, 2), begin, float(rest[0]), float(rest[1]))
+
     def messages(self, x: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         z = np.clip(x @ self.weights, -30, 30)
         good = 1 / (1 + np.exp(-z))
@@ -164,9 +167,8 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(self.shift + self.slope * np.log(q / (1 - q)), -30, 30)))
 
 
-def fit(texts: list[str], good: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Crf:
-    """Maximum likelihood with a ridge; every line has its document's label. Classes weigh alike."""
-    own, length, n_lines = features_of_all(texts)
+def fit(own: np.ndarray, length: np.ndarray, n_lines: np.ndarray, good: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Crf:
+    """Maximum likelihood with a ridge, from line_features() and the documents' labels; every line has its document's label. Classes weigh alike."""
     mean, scale = own.mean(axis=0), own.std(axis=0)
     scale[scale < 1e-9] = 1
     x = with_neighbours((own - mean) / scale, n_lines)

@@ -8,8 +8,9 @@ number of keys at each of the ring's virtual nodes, so the driver sees only
 counts for each node and task, and shard and slot follow from a row's rank on
 the ring.
 
-Narrow rows (no texts) are dealt by ranges of (ring position, doc_id) and
-sorted, so a text that a third of the rows share is split over many tasks.
+assign() deals narrow rows (no texts), write_shards() whole ones, by ranges of
+(ring position, doc_id), sorted, so a text that a third of the rows share is
+split over many tasks.
 
 Null texts have size 1, the checksum of no bytes and the key of the empty text.
 Rows are in ring order by (key, doc_id, checksum), null doc_ids first; which of
@@ -23,34 +24,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialise, n_shuffle, read_table
+from .common import discard, materialise, n_parts, read_table, unused
 from .ring_core import VIRTUAL, Assignment, arcs_of, virtual_nodes
 
 SHARDS = 8
+#: Bytes of a narrow row in the shuffle, about.
+_ROW_BYTES = 40
 
 
 def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row."""
+    return _assigned(spark, docs, shards, virtual, id_col, text_col, []).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def _assigned(spark: SparkSession, docs: DataFrame, shards: int, virtual: int, id_col: str, text_col: str, carried: list[Column]) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, and what is carried along) of every row."""
     nodes, owners = virtual_nodes(shards, virtual)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("ring"))
-    keyed, _ = materialise(spark, keyed, "sharding-keys")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("ring"), *carried)
+    keyed, keyed_at = materialise(spark, keyed, "sharding-keys")
+    width = F.lit(_ROW_BYTES) + (F.col("size") if carried else F.lit(0))
+    width = keyed.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("arc", pa.array(arcs_of(batch.column(3).to_numpy(), nodes).astype(np.int32)))
 
-    schema = "doc_id long, size long, text_crc32 long, ring long"
     order = [F.asc("ring"), F.asc_nulls_first("doc_id"), F.asc("text_crc32")]
-    sorted_ = keyed.repartitionByRange(n_shuffle(spark), *order).sortWithinPartitions(*order).mapInArrow(place, f"{schema}, arc int")
+    sorted_ = keyed.repartitionByRange(n_parts(spark, width), *order).sortWithinPartitions(*order).mapInArrow(place, StructType([*keyed.schema.fields, StructField("arc", IntegerType())]))
     # monotonically_increasing_id counts a partition's rows in their order and has its number in the high bits
     ranked, _ = materialise(spark, sorted_.withColumn("at", F.monotonically_increasing_id()), "sharding-ranked")
+    discard(spark, keyed_at)
     part, local = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     # one row for each task and each node within its range
-    sums = ranked.groupBy(part.alias("part"), (F.col("ring") > F.lit(int(nodes[-1]))).alias("past"), "arc").agg(F.count("*").alias("n"), F.min(local).alias("lowest")).collect()
+    sums = ranked.groupBy(part.alias("part"), (F.col("ring") > F.lit(int(nodes[-1]))).alias("past"), "arc").agg(F.count("*").alias("n")).collect()
     starts, total = {}, 0
     per_part: dict[int, int] = {}
     for r in sums:
@@ -66,30 +77,31 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, virtual:
     for k in range(1, n + 1):
         first_rank[k] = first_rank[k - 1] + counts[k - 1]
     assignment = Assignment(counts, first_rank, [*owners.tolist(), int(owners[0])], shards)
+    kept = [f for f in ranked.schema.fields if f.name not in ("ring", "arc", "at")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(3).to_numpy()
+            at = batch.column(0).to_numpy()
             base = np.array([starts[p] for p in (at >> 33).tolist()], np.int64)
             shard, slot = assignment.of(base + (at & ((1 << 33) - 1)))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(shard.astype(np.int32)), pa.array(slot)], names=["doc_id", "size", "text_crc32", "shard", "slot"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(shard.astype(np.int32)), pa.array(slot)], names=[*(f.name for f in kept), "shard", "slot"])
 
-    return ranked.select("doc_id", "size", "text_crc32", "at").mapInArrow(finish, "doc_id long, size long, text_crc32 long, shard int, slot long")
+    out = StructType([*kept, StructField("shard", IntegerType()), StructField("slot", LongType())])
+    return ranked.select("at", *[f.name for f in kept]).mapInArrow(finish, out)
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes docs with shard and slot, one folder for each shard; rows meet their assignment by doc_id and checksum.
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = SHARDS, virtual: int = VIRTUAL, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the rows of docs in a folder shard=N for each shard.
 
-    Equal rows are interchangeable, so those that repeat a doc_id and text are numbered on both sides.
+    The rows go round the ring whole, so each keeps all its columns and no join
+    brings them together with their shards. The files have the columns of docs
+    and slot; a column of docs with that name, or named shard, is written as
+    slot_ or shard_ (with one more _ where that is taken, too).
     """
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("doc_id", "text_crc32").orderBy("size")
-    given = assign(spark, docs, shards).withColumn("_k", F.row_number().over(same.orderBy("shard", "slot")))
-    own = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).withColumn("size", F.lit(0))
-    own = own.withColumn("_k", F.row_number().over(same)).drop("size")
-    on = own["doc_id"].eqNullSafe(given["doc_id"]) & (own["text_crc32"] == given["text_crc32"]) & (own["_k"] == given["_k"])
-    own.join(given, on).select(*[own[c] for c in docs.columns if c not in ("shard", "slot")], given["shard"], given["slot"]).write.partitionBy("shard").parquet(path)
+    names = unused(["shard", "slot"], *docs.columns)
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row")
+    got = _assigned(spark, docs, shards, virtual, id_col, text_col, [row])
+    got.select("row.*", "slot", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op9_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

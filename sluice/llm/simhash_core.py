@@ -2,7 +2,10 @@
 
 ``fingerprint`` follows the contract of ``op7``: ASCII-lower-cased words cut at
 ASCII white space, four-word shingles with repeats, XXH64 with seed 42, and a
-majority vote per bit.
+majority vote per bit. ``sketch`` gives what the pipeline's stage compares: a
+fingerprint of the distinct words, which few edits change little, and a wide one
+of the distinct five-word shingles, whose equal bits tell the shingles' Jaccard
+similarity.
 """
 
 from __future__ import annotations
@@ -12,35 +15,69 @@ from itertools import repeat
 import numpy as np
 import xxhash
 
+from .words import mixed
+
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_DISTANCE = 4
 _BLOCK = 1 << 14
 
 
-def fingerprint(data: bytes | None) -> int:
-    """64-bit SimHash of a UTF-8 text; None and texts without a word give zero."""
-    words = data.lower().split() if data else []
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of the space-joined runs of size words; of the whole sequence where it is shorter."""
     n = len(words)
-    if n == 0:
-        return 0
-    digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
-    if n <= SHINGLE_WORDS:
-        return digest(joined, SEED)
+    if n <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     begins = np.empty(n, np.int64)
     begins[0] = 0
     begins[1:] = ends[:-1] + 1
-    total = n - SHINGLE_WORDS + 1
-    cuts = zip(begins[:total].tolist(), ends[SHINGLE_WORDS - 1 :].tolist(), strict=True)
-    hashes = np.fromiter(map(digest, [joined[a:b] for a, b in cuts], repeat(SEED)), np.uint64, total)
-    votes = np.zeros(64, np.int64)
-    for k in range(0, total, _BLOCK):
-        block = np.unpackbits(hashes[k : k + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = n - size + 1
+    cuts = zip(begins[:total].tolist(), ends[size - 1 :].tolist(), strict=True)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in cuts], repeat(SEED)), np.uint64, total)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Of hashes with one or more 64-bit words each (rows): the bits that are set in over half of them, as 64-bit words."""
+    table = hashes.reshape(len(hashes), -1)
+    votes = np.zeros(64 * table.shape[1], np.int64)
+    for k in range(0, len(table), _BLOCK):
+        block = np.unpackbits(np.ascontiguousarray(table[k : k + _BLOCK]).view(np.uint8), axis=1, bitorder="little")
         votes += block.sum(axis=0, dtype=np.uint32)
-    bits = np.packbits(votes * 2 > total, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return np.packbits(votes * 2 > len(table), bitorder="little").view(np.uint64)
+
+
+def fingerprint(data: bytes | None) -> int:
+    """64-bit SimHash of a UTF-8 text; None and texts without a word give zero."""
+    words = data.lower().split() if data else []
+    return int(_majority(_hashes(words, SHINGLE_WORDS))[0]) if words else 0
+
+
+#: Words of a shingle of the wide fingerprint, its 64-bit words, and the least similarity that counts as near.
+WIDE_WORDS, WIDE, SIMILARITY = 5, 4, 0.8
+#: Bits that the word fingerprints of near texts differ in at most.
+WORD_DISTANCE = 8
+
+
+def sketch(data: bytes | None) -> tuple[int, bytes]:
+    """The fingerprint of a text's distinct words, and that of its distinct five-word shingles; zeros without a word."""
+    words = data.lower().split() if data else []
+    if not words:
+        return 0, bytes(8 * WIDE)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, set(words), repeat(SEED)), np.uint64)
+    shingles = np.unique(_hashes(words, WIDE_WORDS))
+    wide = np.column_stack([shingles, *(mixed(shingles + np.uint64(k)) for k in range(1, WIDE))])
+    return int(_majority(each)[0]), _majority(wide).tobytes()
+
+
+def wide_distance(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits that the wide fingerprints of two shingle sets of this Jaccard similarity differ in, and one standard deviation more.
+
+    The sets' cosine is 2s / (1 + s), and each bit differs with the angle's share of a half turn.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + np.sqrt(bits * share * (1 - share))))
 
 
 # --- the plan: correlated bits together, thresholds by dynamic programming ---
@@ -96,7 +133,7 @@ def within(sample: np.ndarray, bits: list[int], most: int) -> list[float]:
     for q in differ:
         chance[1:] = chance[1:] * (1 - q) + chance[:-1] * q
         chance[0] *= 1 - q
-    return np.maximum(seen, np.cumsum(chance)[: most + 1] if len(bits) >= most else np.ones(most + 1)).tolist()
+    return np.maximum(seen, np.r_[np.cumsum(chance), np.ones(most + 1)][: most + 1]).tolist()
 
 
 def n_variants(width: int, threshold: int) -> int:
@@ -130,7 +167,7 @@ def plan(sample: np.ndarray, n: int, tau: int = MAX_DISTANCE) -> list[tuple[int,
     """(mask, threshold, flips) of each part that is used, for n distinct fingerprints; flips[0] is 0."""
     n = max(n, 1)  # an empty table would make every plan cost nothing, the one with most signatures too
     best = None
-    for m in range(2, 7):
+    for m in range(2, max(7, tau + 2)):
         parts = arrange(sample, m)
         costs = []
         for bits in parts:
@@ -153,49 +190,93 @@ def flips(bits: list[int], threshold: int) -> list[int]:
 
 # --- verification inside one partition, sorted by key ---
 
-_SMALL = 32
+#: Rows of a run that give all their links, rows compared with all others at once, and links a row from which a run counts as dense.
+_SMALL, _ROWS, _DENSE = 32, 256, 8
+
 
+class Verifier:
+    """Tells which rows are near: fingerprints within tau and, where there are wide ones, these within wide_tau."""
 
-def links(keys: np.ndarray, fps: np.ndarray, tau: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links within tau between rows with the same key (keys are sorted).
+    def __init__(self, fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau: int = 0) -> None:
+        self.fps, self.tau, self.wide, self.wide_tau = fps, tau, wide, wide_tau
 
-    Runs of up to 32 rows give all their links. In longer runs each row looks
-    only at rows that no other has reached yet, so a run gives the edges of a
-    spanning forest: its components stay whole, and a dense run of s rows gives
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of row numbers (arrays that broadcast) whether they are near."""
+        ok = np.bitwise_count(self.fps[a] ^ self.fps[b]) <= self.tau
+        if self.wide is not None and ok.any():
+            at = np.nonzero(ok)
+            x, y = (np.broadcast_to(k, ok.shape)[at] for k in (a, b))
+            ok[at] = np.bitwise_count(self.wide[x] ^ self.wide[y]).sum(axis=1, dtype=np.int64) <= self.wide_tau
+        return ok
+
+
+def links(keys: np.ndarray, own: np.ndarray, nodes: np.ndarray, verify: Verifier) -> tuple[np.ndarray, np.ndarray]:
+    """Links between near rows of the same key (keys are sorted), as the rows' nodes.
+
+    own tells the rows that are indexed under their own bits from those that
+    probe; of a pair at least one is. Runs of up to 32 rows give all their
+    links. Longer ones do, too, unless these are many: then each row looks only
+    at rows that no other has reached yet, so a run gives the edges of a
+    spanning forest, its components stay whole, and a dense run of s rows gives
     s - 1 edges.
     """
     n = len(keys)
     if n < 2:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return nodes[:0], nodes[:0]
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[begins, n])
     left, right = [], []
     small = np.repeat(sizes <= _SMALL, sizes)
     for k in range(1, min(_SMALL, int(sizes[sizes <= _SMALL].max(initial=0)))):
-        same = (keys[k:] == keys[:-k]) & small[k:]
-        at = np.flatnonzero(same)
+        at = np.flatnonzero((keys[k:] == keys[:-k]) & small[k:])
         if not len(at):
             break
-        a, b = fps[at], fps[at + k]
-        d = np.bitwise_count(a ^ b)
-        ok = (d <= tau) & (d > 0)
-        left.append(a[ok])
-        right.append(b[ok])
+        at = at[own[at] | own[at + k]]
+        at = at[verify.near(at, at + k)]
+        left.append(at)
+        right.append(at + k)
     for begin, size in zip(begins[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        rest = np.unique(fps[begin : begin + size])
-        queue: list = []
-        while len(rest):
-            if queue:
-                x = queue.pop()
-            else:
-                x, rest = rest[0], rest[1:]
-            near = np.bitwise_count(rest ^ x) <= tau
-            if near.any():
-                found = rest[near]
-                rest = rest[~near]
-                left.append(np.full(len(found), x, np.uint64))
-                right.append(found)
-                queue.extend(found)
+        rows = np.arange(begin, begin + size)
+        a, b = _run_links(rows[own[rows]], rows[~own[rows]], verify)
+        left.append(a)
+        right.append(b)
     if not left:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return nodes[:0], nodes[:0]
+    a, b = nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+    return a[a != b], b[a != b]
+
+
+def _run_links(own: np.ndarray, probes: np.ndarray, verify: Verifier) -> tuple[np.ndarray, np.ndarray]:
+    """Links within one run, as pairs of row numbers."""
+    rows = np.r_[own, probes]
+    left, right, found = [own[:0]], [own[:0]], 0
+    for k in range(0, len(own), _ROWS):
+        block = own[k : k + _ROWS]
+        i, j = np.nonzero(np.triu(verify.near(block[:, None], rows[None, k:]), 1))
+        found += len(i)
+        if found > _DENSE * len(rows):
+            return _forest(own, probes, verify)
+        left.append(block[i])
+        right.append(rows[k + j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _forest(own: np.ndarray, probes: np.ndarray, verify: Verifier) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of one run. Each tree begins at a row of its own, since two probes don't link."""
+    left, right = [own[:0]], [own[:0]]
+    queue: list[tuple[int, bool]] = []
+    while queue or len(own):
+        if queue:
+            x, is_own = queue.pop()
+        else:
+            x, is_own, own = int(own[0]), True, own[1:]
+        near = verify.near(own, np.full(len(own), x))
+        queue.extend((k, True) for k in own[near].tolist())
+        found, own = own[near], own[~near]
+        if is_own:
+            near = verify.near(probes, np.full(len(probes), x))
+            queue.extend((k, False) for k in probes[near].tolist())
+            found, probes = np.r_[found, probes[near]], probes[~near]
+        left.append(np.full(len(found), x))
+        right.append(found)
     return np.concatenate(left), np.concatenate(right)
