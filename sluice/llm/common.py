@@ -111,6 +111,11 @@ def n_parts(spark: SparkSession, size: int, per_part: int = 64 << 20) -> int:
     return max(n_shuffle(spark), -(-int(size) // per_part))
 
 
+def planned_bytes(df: DataFrame, most: int = 1 << 50) -> int:
+    """The size that the plan's statistics give (for a Parquet table, its files'), without running anything."""
+    return min(most, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, lengthened where a caller's column has one of them (in any case, as Spark compares them)."""
     taken = {c.lower() for c in columns}

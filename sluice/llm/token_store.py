@@ -1,7 +1,7 @@
 """A token store: the ids of all documents in doc_id order, randomly addressable.
 
-write_store() encodes the texts where they are, deals the ids (not the texts) by
-ranges of doc_id, sorts them, and writes two Parquet tables below a folder:
+write_store() deals the texts by ranges of doc_id, sorts and encodes them, and
+writes two Parquet tables below a folder:
 
 segments/  one row for each segment of directly addressable codes (see dac) of
            about ``SEGMENT`` ids, a document never across two: (part, segment,
@@ -15,9 +15,9 @@ and no more of a payload is decoded than was asked for. Only one total for each
 task goes to the driver.
 
 Null texts count as empty and have the end id only. Null doc_ids come first;
-rows with equal doc_ids follow each other in the order of their texts' xxhash64
-and then of their ids, and the ranges are dealt by both, so an id that a third
-of the rows share is split over many tasks. Other columns are not read. An empty
+rows with equal doc_ids follow each other in the order of their texts' xxhash64,
+and the ranges are dealt by both, so an id that a third of the rows share is
+split over many tasks. Other columns are not read. An empty
 table gives an empty store. A document's ids are one value, for which Spark's
 limit of 2 GB holds as it does for its text.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import discard, groups_of, materialise, n_parts, new_path, read_table, text_groups
+from .common import groups_of, n_parts, new_path, planned_bytes, read_table, text_groups
 from .pieces import Memo, words
 
 #: Ids in a segment, more or less; the id that ends each document.
@@ -46,6 +46,8 @@ SEGMENT, END_ID = 1 << 18, 1
 FORMAT = "part int, segment int, first long, n_tokens long, doc_ids binary, sizes binary, payload binary"
 INDEX = "begin long, end long, part int, segment int"
 _ROW_GROUP = 4 << 20
+#: Bytes of text for a byte of a compressed table, about.
+_EXPANDED = 3
 _NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
@@ -126,29 +128,15 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return whole
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, ids binary: uint32) of every row, the end id included."""
-    end = np.array([end_id], np.uint32).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = encoder(vocabulary)
-        for batch in batches:
-            for a, b, texts in text_groups(batch.column(2), _GROUP):
-                ids = pa.array([x + end for x in make(texts)], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids], names=["doc_id", "tie", "ids"])
-
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
-
-
-def _packed(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From a task's (doc_id, ids) in order to rows of FORMAT."""
+def _segments(vocabulary: str, end_id: int, segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From a task's (doc_id, text) in order to rows of FORMAT."""
     names = ["part", "segment", "first", "n_tokens", "doc_ids", "sizes", "payload"]
     schema = pa.schema(list(zip(names, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)))
+    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, first, size = TaskContext.get().partitionId(), 0, 0, 0
+        make = encoder(vocabulary)
         held: list[bytes] = []
         ids: list[int] = []
 
@@ -159,15 +147,17 @@ def _packed(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             return pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=schema)
 
         for batch in batches:
-            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(_NO_ID if doc_id is None else doc_id)
-                held.append(packed.as_py())
-                size += len(held[-1]) // 4
-                if size >= segment:
-                    yield close()
-                    k, first, size = k + 1, first + size, 0
-                    held.clear()
-                    ids.clear()
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in text_groups(batch.column(1), _GROUP):
+                for doc_id, packed in zip(doc_ids[a:b], make(texts), strict=True):
+                    ids.append(_NO_ID if doc_id is None else doc_id)
+                    held.append(packed + end)
+                    size += len(packed) // 4 + 1
+                    if size >= segment:
+                        yield close()
+                        k, first, size = k + 1, first + size, 0
+                        held.clear()
+                        ids.clear()
         if held:
             yield close()
 
@@ -176,12 +166,13 @@ def _packed(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def write_store(spark: SparkSession, docs: DataFrame, vocabulary: str, where: str, end_id: int = END_ID, segment: int = SEGMENT, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the store of docs below the folder where."""
-    ids, ids_at = materialise(spark, encoded(docs, vocabulary, end_id, id_col, text_col), "token-ids", "zstd")
-    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"))
     order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
-    rows = ids.repartitionByRange(n_parts(spark, size), *order).sortWithinPartitions(*order, F.asc("ids")).select("doc_id", "ids")
-    rows.mapInArrow(_packed(segment), FORMAT).write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(f"{where}/segments")
-    discard(spark, ids_at)
+    # texts, not ids, are dealt: of short invented words the ids take more bytes
+    dealt = rows.repartitionByRange(n_parts(spark, _EXPANDED * planned_bytes(docs)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    made = dealt.mapInArrow(_segments(vocabulary, end_id, segment), FORMAT)
+    made.write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(f"{where}/segments")
     segments = spark.read.schema(FORMAT).parquet(f"{where}/segments")
     starts, total = [], 0
     for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row for each task that wrote
