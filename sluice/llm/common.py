@@ -111,9 +111,16 @@ def n_parts(spark: SparkSession, size: int, per_part: int = 64 << 20) -> int:
     return max(n_shuffle(spark), -(-int(size) // per_part))
 
 
-def planned_bytes(df: DataFrame, most: int = 1 << 50) -> int:
-    """The size that the plan's statistics give (for a Parquet table, its files'), without running anything."""
-    return min(most, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+#: Bytes of text for a byte of a compressed table, about; a size from which a plan's statistics only say that they don't know.
+_EXPANDED, _UNKNOWN = 3, 1 << 56
+
+
+def about_bytes(df: DataFrame, text_col: str) -> int:
+    """About how many bytes the texts have: by the plan's statistics (for a Parquet table, its files' sizes), or counted where these know nothing."""
+    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if planned < _UNKNOWN:
+        return _EXPANDED * planned
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
 
 
 def unused(columns: Iterable[str], *names: str) -> list[str]:

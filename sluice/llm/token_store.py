@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import groups_of, n_parts, new_path, planned_bytes, read_table, text_groups
+from .common import about_bytes, groups_of, n_parts, new_path, read_table, text_groups
 from .pieces import Memo, words
 
 #: Ids in a segment, more or less; the id that ends each document.
@@ -46,8 +46,6 @@ SEGMENT, END_ID = 1 << 18, 1
 FORMAT = "part int, segment int, first long, n_tokens long, doc_ids binary, sizes binary, payload binary"
 INDEX = "begin long, end long, part int, segment int"
 _ROW_GROUP = 4 << 20
-#: Bytes of text for a byte of a compressed table, about.
-_EXPANDED = 3
 _NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
@@ -170,7 +168,7 @@ def write_store(spark: SparkSession, docs: DataFrame, vocabulary: str, where: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"))
     order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
     # texts, not ids, are dealt: of short invented words the ids take more bytes
-    dealt = rows.repartitionByRange(n_parts(spark, _EXPANDED * planned_bytes(docs)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    dealt = rows.repartitionByRange(n_parts(spark, about_bytes(docs, text_col)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     made = dealt.mapInArrow(_segments(vocabulary, end_id, segment), FORMAT)
     made.write.option("compression", "zstd").option("parquet.block.size", _ROW_GROUP).parquet(f"{where}/segments")
     segments = spark.read.schema(FORMAT).parquet(f"{where}/segments")
