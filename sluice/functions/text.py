@@ -9,33 +9,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters that no decomposition leads from.
-_PLAIN = {"ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}
+_PLAIN = {"ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i", "ё": "е"}
 _PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+_BASES = {chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0x3B1, 0x3CA))}
 
 
-def _accents() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and the letters beneath."""
-    found = {}
-    for c in map(chr, range(0xC0, 0x250)):
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """Lower-case letters that decompose to one letter a-z or α-ω, these letters, and the ligatures that decompose to several.
+
+    Marks go with any letter of the basic plane; what the decomposition of a
+    letter of another script gives stays as it is.
+    """
+    one, several = {}, {}
+    for c in map(chr, range(0xC0, 0xFFF0)):
+        if c != c.lower() or not c.isalpha():
+            continue
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c == c.lower() and c != base and len(base) == 1 and base.isascii():
-            found[c] = base
-    found |= _PLAIN
-    return "".join(found), "".join(found.values())
+        if base != c and base and set(base) <= _BASES:
+            (one if len(base) == 1 else several)[c] = base
+    one |= _PLAIN
+    return "".join(one), "".join(one.values()), several | _PAIRS
 
 
-ACCENTED, PLAIN = _accents()
+ACCENTED, PLAIN, LIGATURES = _accents()
 
 
 def fold(text: Column) -> Column:
     """Lower case without punctuation, white space and accents; symbols outside ASCII stay."""
-    bare = F.lower(F.regexp_replace(text, r"[\p{Punct}\p{P}\p{Z}\t-\r]+", ""))
-    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _PAIRS.items(), F.translate(bare, ACCENTED, PLAIN))
+    return _unaccent(F.lower(F.regexp_replace(text, r"[\p{Punct}\p{P}\p{Z}\t-\r]+", "")))
+
+
+def _unaccent(lowered: Column) -> Column:
+    # combining marks that stand by themselves go, too; ASCII texts need none of this
+    plain = F.translate(F.regexp_replace(lowered, r"[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+    plain = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), LIGATURES.items(), plain)
+    return F.when(lowered.rlike(r"[^\x00-\x7f]"), plain).otherwise(lowered)
+
+
+def _unaccent_sql(lowered: str) -> str:
+    plain = f"translate(regexp_replace({lowered}, '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '{ACCENTED}', '{PLAIN}')"
+    return reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", LIGATURES.items(), plain)
 
 
 def fold_sql(text: str) -> str:
-    bare = f"translate(lower(regexp_replace({text}, '[[:punct:]\\p{{P}}\\p{{Z}}\\t-\\r]+', '', 'g')), '{ACCENTED}', '{PLAIN}')"
-    return reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", _PAIRS.items(), bare)
+    return _unaccent_sql(f"lower(regexp_replace({text}, '[[:punct:]\\p{{P}}\\p{{Z}}\\t-\\r]+', '', 'g'))")
 
 
 def folded_equal(left: Column, right: Column) -> Column:
@@ -69,31 +86,32 @@ def image_url(path: Column, kind_size: str, base: str = "https://images.example/
 
 
 _SHORT, _LONG = 3, 30
-# Names that no account may have.
+# Names that no account may have, unless a caller gives a list of their own.
 RESERVED = ["admin", "administrator", "api", "help", "me", "null", "root", "support", "system", "user"]
+_MARKS = r"[\p{Punct}\p{P}\p{Z}\t-\r]+"
 
 
-def handle_stem(name: Column, key: Column) -> Column:
+def handle_stem(name: Column, key: Column, reserved: list[str] = RESERVED) -> Column:
     """A handle from a name: folded to [a-z0-9_], beginning with a letter, 30 characters at most; else user_ and 8 digits of the key's hash."""
-    marks = F.regexp_replace(name, r"[\p{Punct}\p{P}\p{Z}\t-\r]+", "_")
-    plain = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _PAIRS.items(), F.translate(F.lower(marks), ACCENTED, PLAIN))
+    plain = _unaccent(F.lower(F.regexp_replace(name, _MARKS, "_")))
     stem = F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9_]", ""), r"^[^a-z]+", "")
     stem = F.trim(F.substring(stem, 1, _LONG), F.lit("_"))
-    unfit = (F.length(stem) < _SHORT) | stem.isin(RESERVED) | stem.rlike(r"^user_[0-9a-f]{8}$") | stem.isNull()
+    unfit = (F.length(stem) < _SHORT) | stem.isin(reserved) | stem.rlike(r"^user_[0-9a-f]{8}$") | stem.isNull()
     return F.when(unfit, F.concat(F.lit("user_"), F.substring(F.md5(key.cast("string")), 1, 8))).otherwise(stem)
 
 
-def handle_stem_sql(name: str, key: str) -> str:
-    marks = f"regexp_replace({name}, '[[:punct:]\\p{{P}}\\p{{Z}}\\t-\\r]+', '_', 'g')"
-    plain = reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", _PAIRS.items(), f"translate(lower({marks}), '{ACCENTED}', '{PLAIN}')")
+def handle_stem_sql(name: str, key: str, reserved: list[str] = RESERVED) -> str:
+    plain = _unaccent_sql(f"lower(regexp_replace({name}, '[[:punct:]\\p{{P}}\\p{{Z}}\\t-\\r]+', '_', 'g'))")
     stem = f"trim(substr(regexp_replace(regexp_replace({plain}, '[^a-z0-9_]', '', 'g'), '^[^a-z]+', ''), 1, {_LONG}), '_')"
-    reserved = ", ".join(f"'{x}'" for x in RESERVED)
-    return f"CASE WHEN length({stem}) < {_SHORT} OR {stem} IN ({reserved}) OR regexp_matches({stem}, '^user_[0-9a-f]{{8}}$') OR {stem} IS NULL THEN 'user_' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) ELSE {stem} END"
+    names = ", ".join(f"'{x}'" for x in reserved)
+    other = f"'user_' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)"
+    return f"CASE WHEN length({stem}) < {_SHORT} OR {stem} IN ({names}) OR regexp_matches({stem}, '^user_[0-9a-f]{{8}}$') OR {stem} IS NULL THEN {other} ELSE {stem} END"
 
 
-def valid_handle(handle: Column) -> Column:
-    """Whether a handle, less a leading @, has the permitted form."""
-    return F.regexp_replace(F.trim(F.lower(handle)), "^@", "").rlike(r"^[a-z][a-z0-9_]{2,29}$")
+def valid_handle(handle: Column, reserved: list[str] = RESERVED) -> Column:
+    """Whether a handle, less a leading @, has the permitted form and isn't reserved."""
+    bare = F.regexp_replace(F.trim(F.lower(handle)), "^@", "")
+    return bare.rlike(r"^[a-z][a-z0-9_]{2,29}$") & ~bare.isin(reserved)
 
 
 def email_shaped(name: Column) -> Column:
@@ -118,20 +136,19 @@ def decode_cursor(cursor: Column) -> Column:
     return F.split(F.unbase64(padded).cast("string"), r"\|")
 
 
-# Closing quotation marks with the opening ones that go with them.
-QUOTES = [("”", "“„"), ("’", "‘‚"), ("»", "«"), ('"', '"'), ("'", "'")]
+# Closing quotation marks, each with the one that opens it.
+QUOTES = {"'": "'", '"': '"', "’": "‘", "”": "“"}
+_DELIMITERS = "".join(dict.fromkeys("".join(c + o for c, o in QUOTES.items())))
 
 
 def quoted_candidate(title: Column) -> Column:
-    """The quoted part of a title whose last delimiter closes a quotation: what lies between it and the nearest opener before.
+    """The quoted part of a title whose last quotation mark closes: what lies between it and the nearest mark before that opens it.
 
-    Null where there is none, where it is blank, or where it is the title itself.
+    Marks of other kinds may lie within. Null where there is no such part or a blank one.
     """
-    delimiters = "".join(dict.fromkeys("".join(c + o for c, o in QUOTES)))
-    last = F.regexp_extract(title, f"([{delimiters}])[^{delimiters}]*$", 1)
+    last = F.regexp_extract(title, f"([{_DELIMITERS}])[^{_DELIMITERS}]*$", 1)
     inner = F.lit(None).cast("string")
-    for closer, openers in QUOTES:
-        part = F.regexp_extract(title, f"[{openers}]([^{openers}{closer}]*){closer}[^{delimiters}]*$", 1)
+    for closer, opener in QUOTES.items():
+        part = F.regexp_extract(title, f"(?s)^.*{opener}(.*){closer}[^{_DELIMITERS}]*$", 1)
         inner = F.when(last == closer, part).otherwise(inner)
-    inner = F.trim(inner)
-    return F.when((inner != "") & (inner != F.trim(title)), inner)
+    return F.nullif(F.regexp_replace(inner, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))

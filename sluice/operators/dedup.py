@@ -16,15 +16,15 @@ def prefer_non_null(rows: DataFrame, keys: list[str], preferred: str, key: str)
     return top_k(rows, keys, [F.col(preferred).isNull(), F.asc(key)])
 
 
-def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """Distinct keys in the order in which they come first."""
-    return rows.groupBy(key).agg(F.min(position).alias(position)).orderBy(position)
-
-
-def unique_only(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key no other row has; null keys drop out."""
-    alone = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    return rows.join(alone, keys, "left_semi")
+def unique_only(rows: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
+    """Rows whose key no other row has; null keys drop out. carried names the other columns.
+
+    One aggregate, combined before the shuffle: of a key with one row the
+    smallest value of each column is that row's.
+    """
+    carried = [c for c in rows.columns if c not in keys] if carried is None else carried
+    one = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in carried])
+    return one.filter("_n = 1").drop("_n")
 
 
 def episode_order(season: Column, number: Column) -> list[Column]:

@@ -62,7 +62,8 @@ def repoint(facts: DataFrame, mapping: DataFrame, owner: str, target: str) -> Da
     held = facts.select(F.col(owner).alias("_owner"), F.col(target).alias("_held")).distinct()
     joined = joined.join(held, (F.col(owner) == F.col("_owner")) & (F.col("new") == F.col("_held")), "left")
     wants = F.col("new").isNotNull() & F.col("_held").isNull()
-    first = F.row_number().over(Window.partitionBy(owner, "new", wants).orderBy("old", target)) == 1
+    # rows with nothing to move are each a group of their own, so an owner with many of them isn't one task
+    first = F.row_number().over(Window.partitionBy(owner, F.when(wants, F.col("new")), F.when(~wants, F.col(target))).orderBy("old", target)) == 1
     return joined.withColumn("moved", wants & first).withColumn(target, F.when(F.col("moved"), F.col("new")).otherwise(F.col(target))).drop("old", "new", "_owner", "_held")
 
 

@@ -35,6 +35,10 @@ def current_recommendations(sets: DataFrame, rows: DataFrame, excluded: DataFram
     return top_k(mine, [user], [F.asc(rank)], most)
 
 
+#: Titles from which an answer is judged, and the shares of unresolved and of excluded ones that it may have.
+JUDGED, UNRESOLVED, EXCLUDED = 4, 0.5, 0.9
+
+
 def believable(unresolved: Column, excluded: Column, named: Column) -> Column:
-    """Whether an answer may be stored: at most half unresolved, and of four or more named at most nine tenths excluded."""
-    return (unresolved * 2 <= named) & ((named < 4) | (excluded * 10 <= named * 9))
+    """Whether an answer may be stored: one that names few titles is not judged; else at most half unresolved and nine tenths excluded."""
+    return (named < JUDGED) | ((unresolved <= named * UNRESOLVED) & (excluded <= named * EXCLUDED))

@@ -11,13 +11,32 @@ def islands(events: DataFrame, keys: list[str], ts: str, event_id: str, is_membe
 
     The gap is to the previous event of any kind, so other events bridge gaps;
     an event exactly the window later opens a group. Groups count members only.
+
+    Rows are dealt by key and day, so a key with a third of all events is as
+    many tasks' work as it has days. What the days before a day hold (the last
+    event, the groups opened) comes from one row for each key and day. Null keys
+    are equal to each other.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, event_id)
-    before = F.lag(ts).over(order)
-    joins = is_member & F.coalesce(before > F.col(ts) - F.expr(f"INTERVAL {window_minutes} MINUTES"), F.lit(False))
-    flagged = events.withColumn("_member", F.coalesce(is_member, F.lit(False))).withColumn("_new", F.when(joins, 0).otherwise(1))
-    opened = F.when(F.col("_member"), F.col("_new")).otherwise(0)
-    return flagged.withColumn("_group", F.sum(opened).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    day = [*keys, "_day"]
+    within = Window.partitionBy(*day).orderBy(ts, event_id)
+    through = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    e = events.withColumn("_day", F.to_date(ts)).withColumn("_member", F.coalesce(is_member, F.lit(False)))
+    last = e.groupBy(*day).agg(F.max(ts).alias("_last")).withColumn("_last", F.max("_last").over(through))
+    e = _beside(e, last, day)
+    before = F.coalesce(F.lag(ts).over(within), F.col("_last"))
+    joins = F.coalesce(before > F.col(ts) - F.expr(f"INTERVAL {window_minutes} MINUTES"), F.lit(False))
+    e = e.withColumn("_opens", F.when(F.col("_member") & ~joins, 1).otherwise(0)).drop("_last")
+    opened = e.groupBy(*day).agg(F.sum("_opens").alias("_earlier")).withColumn("_earlier", F.coalesce(F.sum("_earlier").over(through), F.lit(0)))
+    e = _beside(e, opened, day)
+    count = F.sum("_opens").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return e.withColumn("_group", F.col("_earlier") + count).drop("_opens", "_earlier", "_day")
+
+
+def _beside(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of more, which has one row for each key; null keys match."""
+    named = more.select(*[F.col(k).alias(f"_{i}_k") for i, k in enumerate(keys)], *[c for c in more.columns if c not in keys])
+    on = [rows[k].eqNullSafe(named[f"_{i}_k"]) for i, k in enumerate(keys)]
+    return rows.join(named, on, "left").drop(*[f"_{i}_k" for i in range(len(keys))])
 
 
 def activity_rollup(events: DataFrame, member_type: str = "view", window_minutes: int = 360) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Country marks that titles carry.
-_COUNTRIES = r"\s*\((?:US|UK|AU|CA|NZ)\)\s*$"
+# Country marks that titles carry, in any case.
+_COUNTRIES = r"(?i)\s*\((?:US|UK|AU|CA|NZ)\)\s*$"
 
 
 def title_year(title: Column) -> Column:
@@ -20,10 +20,11 @@ def bare_title(title: Column) -> Column:
 
 
 def parse_mark(mark: Column) -> Column:
-    """struct(season, number) of SxE; a special (Sx without a number) has a null number; null for anything else."""
-    season = F.regexp_extract(mark, r"^(\d+)x(\d*)$", 1).try_cast("int")
-    number = F.regexp_extract(mark, r"^(\d+)x(\d*)$", 2).try_cast("int")
-    return F.when(mark.rlike(r"^\d+x\d*$"), F.struct(season.alias("season"), number.alias("number")))
+    """struct(season, number) of a mark SxT; T that isn't all digits is a special, which has a null number. Null for anything else."""
+    season = F.regexp_extract(mark, r"^(\d+)x(.+)$", 1).try_cast("int")
+    tail = F.regexp_extract(mark, r"^(\d+)x(.+)$", 2)
+    number = F.when(tail.rlike(r"^\d+$"), tail.try_cast("int"))
+    return F.when(season.isNotNull(), F.struct(season.alias("season"), number.alias("number")))
 
 
 def strip_trailer(body: Column) -> Column:

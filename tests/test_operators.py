@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import numbers, text
-from sluice.operators import dedup, match, merge, progress, sessions, sets
+from sluice.operators import dedup, match, merge, people, progress, sessions, sets
 from sluice.sources import exports, payload, titles
 from sluice.streaming import feed
 
@@ -58,7 +58,7 @@ def test_keyset_pages_cover_all_rows_once(spark):
 
 @pytest.mark.parametrize(
     ("a", "b", "same"),
-    [("Shōgun", "Shogun", True), ("Spider-Man", "Spiderman", True), ("The Office (US)", "the office us", True), ("Æon Flux", "Aeon Flux", True), ("Łódź", "Lodz", True), ("Smørrebrød", "Smorrebrod", True), ("The Office", "The Office UK", False), ("Shogun", "Shoguns", False), ("", "x", False), ("!!!", "???", False), ("", "", False)],
+    [("Shōgun", "Shogun", True), ("Spider-Man", "Spiderman", True), ("The Office (US)", "the office us", True), ("Æon Flux", "Aeon Flux", True), ("Łódź", "Lodz", True), ("Smørrebrød", "Smorrebrod", True), ("The Office", "The Office UK", False), ("Việt Nam", "viet nam", True), ("Ǻrhus", "Arhus", True), ("Đặng", "Dang", True), ("Ελλάς", "ελλας", True), ("Ёлки", "елки", True), ("йод", "иод", False), ("ﬁlm", "film", True), ("Nguye\u0302\u0303n", "Nguyen", True), ("Ḧ ẘ ṩ", "hws", True), ("Shogun", "Shoguns", False), ("", "x", False), ("!!!", "???", False), ("", "", False)],
 )
 def test_fold(spark, a, b, same):
     assert one(spark, text.folded_equal(F.col("a"), F.col("b")), a=a, b=b) is same
@@ -70,7 +70,10 @@ def test_text_functions(spark):
     assert text.tokens(" a  !! b-c ") == ["a", "b-c"]
     assert one(spark, text.quoted_candidate(F.col("x")), x="Watch “Dark”") == "Dark"
     assert one(spark, text.quoted_candidate(F.col("x")), x="Watch “Dark” (2017)") == "Dark"
-    assert one(spark, text.quoted_candidate(F.col("x")), x="no quotes") is None
+    quoted = lambda x: one(spark, text.quoted_candidate(F.col("x")), x=x)
+    assert quoted("no quotes") is None and quoted("The Leftovers' 'Manhunt: Unabomber'") == "Manhunt: Unabomber"
+    assert quoted("Try ‘Grey’s Anatomy’") == "Grey’s Anatomy" and quoted("Grey’s Anatomy") is None  # a possessive opens nothing
+    assert quoted("Try “Dark") is None and quoted("'  '") is None and quoted("say \"it's\"") == "it's" and quoted("«Dark»") is None
     assert one(spark, text.quoted_candidate(F.col("x")), x=None) is None
     assert one(spark, text.handle_stem(F.col("x"), F.lit(1)), x="Jörg Müller!") == "jorg_muller"
     assert one(spark, text.handle_stem(F.col("x"), F.lit(1)), x="admin").startswith("user_")
@@ -80,6 +83,8 @@ def test_text_functions(spark):
     assert one(spark, text.valid_handle(F.col("x")), x="@abc_1") and not one(spark, text.valid_handle(F.col("x")), x="1abc")
     assert one(spark, text.decode_cursor(text.encode_cursor(F.col("x"), F.lit("7"))), x="2024-01-01T00:00:00?>") == ["2024-01-01T00:00:00?>", "7"]
     assert text.escape_like("a_b%") == "a\\_b\\%"
+    assert not one(spark, text.valid_handle(F.col("x")), x="Admin") and one(spark, text.valid_handle(F.col("x"), reserved=[]), x="Admin")
+    assert one(spark, text.handle_stem(F.col("x"), F.lit(1), reserved=["ann_lee"]), x="Ann Lee").startswith("user_")
 
 
 def test_numbers(spark):
@@ -140,17 +145,62 @@ def test_trust_rule(spark):
     season(4, [(1, 2), (8, 8)])
     season(5, [(1, 8), (8, 15)])
     season(6, [(1, None), (8, None)])
+    ours += [(1, 8, 1, day(1)), (1, 8, 1, day(2)), (1, 9, 0, day(1)), (1, 9, 1, day(8)), (1, 10, None, day(1)), (1, 11, 1, None)]
+    theirs += [(1, 8, 1, day(1)), (1, 9, 0, day(2)), (1, 9, 1, day(9))]  # number 0 counts; season 8 has nothing that does
     ours += [(1, 7, -1, day(1)), (1, 7, 1, day(2)), (1, 7, 1, day(3)), (1, 7, 2, day(4))]
     theirs += [(1, 7, 1, day(3)), (1, 7, 2, day(5))]
     got = match.trust_verdicts(spark.createDataFrame(ours, schema), spark.createDataFrame(theirs, schema), "show", "season", "number", "air")
-    assert sorted((r.season, r.offset_days, r.compared, r.reason) for r in got.collect()) == [(1, 1, 2, None), (2, 0, 2, None), (3, None, 1, "too_few"), (4, None, 2, "inconsistent"), (5, None, 2, "out_of_range"), (6, None, 0, "no_overlap"), (7, None, 1, "too_few")]
+    assert sorted((r.season, r.offset_days, r.compared, r.reason) for r in got.collect()) == [(1, 1, 2, None), (2, 0, 2, None), (3, None, 1, "too_few"), (4, None, 2, "inconsistent"), (5, None, 2, "out_of_range"), (6, None, 0, "no_overlap"), (7, None, 1, "too_few"), (9, 1, 2, None)]
+
+
+def test_believable(spark):
+    judge = lambda u, e, n: spark.range(1).select(people.believable(F.lit(u), F.lit(e), F.lit(n)).alias("r")).first().r
+    assert judge(2, 0, 2) and judge(3, 3, 3)  # few titles aren't judged
+    assert judge(2, 0, 4) and not judge(3, 0, 4) and judge(0, 9, 10) and not judge(0, 10, 10)
+
+
+def test_vote_tally(spark):
+    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "a"), (1, ""), (2, "a"), (3, "a"), (3, "b"), (4, "d"), (4, "e"), (4, "f"), (4, "g"), (4, "h")], "owner long, title string")
+    held = [(10, "a"), (10, "b"), (10, "c"), (10, "c"), (11, "a"), (1, "a"), (1, "b"), (12, "d"), (12, "e"), (13, "f"), (14, "g"), (15, "h")]
+    got = match.vote_tally(wanted, spark.createDataFrame(held, "show long, title string"), "owner", "title", "show")
+    # 1: show 10 has a and b once (c twice), 2 of 3 titles; 2: one vote; 3: shows 1 and 10 are level; 4: 2 of 5 is under a half
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 2)]
+    assert match.vote_tally(wanted.limit(0), spark.createDataFrame(held, "show long, title string"), "owner", "title", "show").count() == 0
+
+
+def test_rollup_is_the_same_when_days_part_it(spark):
+    """A busy user over many days, against one pass in order."""
+    import random
+
+    rng = random.Random(3)
+    rows, at = [], 0
+    for k in range(400):
+        at += rng.choice([1, 10, 29, 30, 31, 600, 1500, 4000])
+        rows.append((at, 1 if k % 9 else None, "view" if rng.random() < 0.7 else "click"))
+    want, last, run = [], {}, {}
+    for k, (m, u, t) in enumerate(rows):
+        if t == "view":
+            if u in run and m - last[u] < 30:
+                run[u][1] += 1
+            else:
+                run[u] = [k, 1]
+                want.append((u, run[u]))
+        last[u] = m
+    got = sessions.activity_rollup(events(spark, rows), window_minutes=30).filter("event_type = 'view'")
+    assert sorted(((r.user_id, r.sort_id, r.n) for r in got.collect()), key=repr) == sorted(((u, k, n) for u, (k, n) in want), key=repr)
 
 
 def test_tiers_claim_once(spark):
     left = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "b", "z"), (4, None, "w")], "l long, k string, t string")
     right = spark.createDataFrame([(10, "a", "q"), (11, "c", "x"), (12, "c", "z"), (13, None, "w")], "r long, k string, t string")
     out = match.tiered_match(left, right, "l", "r", [("key", [F.col("k")]), ("title", [F.col("t")])])
-    assert sorted(map(tuple, out.collect())) == [(1, 10, "key"), (2, 11, "title"), (3, 12, "title"), (4, 13, "title")]
+    assert sorted(map(tuple, out.collect())) == [(1, 10, "key"), (3, 12, "title"), (4, 13, "title")]  # x stands twice on the left
+    # 1 and 20 share a key; 2 has 20's title, but 20 is taken, so 2 goes on to the next tier
+    left = spark.createDataFrame([(1, "a", None, None), (2, "b", "t", "n")], "l long, k string, t string, u string")
+    right = spark.createDataFrame([(20, "a", "t", None), (21, "c", None, "n")], "r long, k string, t string, u string")
+    out = match.tiered_match(left, right, "l", "r", [("key", [F.col("k")]), ("title", [F.col("t")]), ("last", [F.col("u")])])
+    assert sorted(map(tuple, out.collect())) == [(1, 20, "key"), (2, 21, "last")]
+    assert match.tiered_match(left.limit(0), right, "l", "r", [("key", [F.col("k")])]).count() == 0
 
 
 def test_taste_ladder(spark):
@@ -166,7 +216,27 @@ def test_export_decoding(spark, tmp_path):
     with gzip.open(path, "wt") as f:
         f.write('{"id":1,"original_name":"a","popularity":2.5}\n\n{"id":true}\nnot json\n{"id":2,"popularity":true}\n{"id":"3"}\n{"id":4,"popularity":7}\n')
     got = exports.read_export(spark, path)
-    assert [(r.id, r.popularity, r.fault) for r in got.orderBy("position").collect()] == [(1, 2.5, None), (None, None, "no_id"), (None, None, "unparseable"), (2, None, None), (None, None, "no_id"), (4, 7.0, None)]
+    assert [(r.id, r.popularity, r.fault) for r in got.orderBy("position").collect()] == [(1, 2.5, None), (1, None, None), (None, None, "unparseable"), (2, None, None), (3, None, None), (4, 7.0, None)]
+    lines = spark.createDataFrame(list(enumerate(['{"id":3.7}', '{"id":" 12 "}', '{"id":"x"}', '{"id":null}', "{}", "[1]", '{"id":-4}', '{"id":false}'])), "position long, value string")
+    assert [r.id for r in exports.decode_export(lines).orderBy("position").collect()] == [3, 12, None, None, None, None, -4, 0]
+    with gzip.open(path, "wt") as f:
+        f.write('{"id":null}\n\n')
+    with pytest.raises(exports.EmptyExport):
+        exports.read_export(spark, path)
+    whole = gzip.compress(b'{"id":1}\n' * 5000)
+    (tmp_path / "cut.json.gz").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception):  # noqa: B017
+        exports.read_export(spark, str(tmp_path / "cut.json.gz")).collect()
+    day = dt.date(2024, 3, 5)
+    base = str(tmp_path)
+    assert exports.newest_export(spark, base, day) is None
+    older = exports.export_path(base, day - dt.timedelta(days=2))
+    with open(older, "wb") as f:
+        f.write(whole)
+    assert exports.newest_export(spark, base, day, declared={older: len(whole)}) == older
+    assert exports.newest_export(spark, base, day + dt.timedelta(days=1)) is None
+    with pytest.raises(ValueError, match="bytes"):
+        exports.newest_export(spark, base, day, declared={older: 7})
     assert exports.implausible(10, 0) and exports.implausible(200_000, 300_000) and exports.implausible(240_000, 240_000) is None
 
 
@@ -175,6 +245,10 @@ def test_windows_and_changes(spark):
     assert [(r.window_start.day, r.window_end.day) for r in exports.windows(gaps, "a", "b").orderBy("window_start").collect()] == [(1, 15), (15, 29), (29, 1)]
     pages = spark.createDataFrame([(0, 1, '{"results":[{"id":5},{"id":3}]}'), (0, 2, '{"results":[{"id":5},{"id":9},{}]}')], "window int, page int, body string")
     assert [r.id for r in exports.changed_ids(pages).collect()] == [5, 3, 9]
+    assert exports.changed_ids(spark.createDataFrame([(0, 1, '{"results":[{"id":true},{"id":"7"},8,{"id":2}]}'), (0, 2, "not json"), (1, 1, "{}")], "window int, page int, body string")).first().id == 2
+    w = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 15), 501), (dt.date(2024, 1, 1), dt.date(2024, 1, 2), 900), (dt.date(2024, 1, 1), dt.date(2024, 1, 15), 500)], "a date, b date, pages int")
+    got = sorted((r.a.day, r.b.day, r.too_long) for r in exports.halves(w, "a", "b", "pages").collect())
+    assert got == [(1, 2, True), (1, 8, False), (8, 15, False)]
 
 
 def test_payload_rules(spark):
@@ -190,8 +264,10 @@ def test_payload_rules(spark):
 def test_titles(spark):
     assert one(spark, titles.bare_title(F.col("x")), x="Dark (US) (2017)") == "Dark"
     assert one(spark, titles.title_year(F.col("x")), x="Dark (2017)") == 2017
-    assert tuple(one(spark, titles.parse_mark(F.col("x")), x="3x")) == (3, None)
-    assert one(spark, titles.parse_mark(F.col("x")), x="x3") is None
+    assert one(spark, titles.bare_title(F.col("x")), x="Dark (us)") == "Dark"
+    mark = lambda x: one(spark, titles.parse_mark(F.col("x")), x=x)
+    assert tuple(mark("9x11")) == (9, 11) and tuple(mark("48xSpecial")) == (48, None) and tuple(mark("2x1b")) == (2, None)
+    assert mark("3x") is None and mark("x3") is None and mark("12") is None and mark(None) is None
     assert one(spark, titles.strip_trailer(F.col("x")), x='{"a":1}<img>') == '{"a":1}'
 
 
@@ -214,4 +290,13 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     go()
     e.filter("event_id % 2 = 1").write.mode("append").parquet(source)  # late events between those that are there
     go()
-    assert feed_rows(feed.current_feed(spark, store)) == feed_rows(sessions.activity_rollup(e)) and len(seen) == 2
+    want = feed_rows(sessions.activity_rollup(e))
+    assert feed_rows(feed.current_feed(spark, store)) == want and len(seen) == 2
+    two = spark.createDataFrame([(2,), (2,)], "user_id long")
+    assert feed_rows(feed.current_feed(spark, store, two)) == [r for r in want if r[0] == 2]
+    for _ in range(2):  # again, as after a crash
+        feed.compact(spark, store, 1)
+        assert feed_rows(feed.current_feed(spark, store)) == want and feed._folders(spark, store)[1] == []
+    feed.apply_batch(spark, store, e.filter("event_id < 4"), 2)  # repeats
+    assert feed_rows(feed.current_feed(spark, store)) == want
+    assert [f.rsplit("/", 1)[1] for f in feed._folders(spark, store)[0]] == ["base=1", "batch=2"]
