@@ -31,9 +31,9 @@ def s8_posexplode_rank(spark: SparkSession, d: str) -> DataFrame:
     return payload.ranked_ids(docs, "user_id", "body", 20)
 
 
-@query("""SELECT o_orderkey AS show, l_linenumber AS person_id, l_returnflag AS department, 'job' || CAST(l_suppkey AS VARCHAR) AS job FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 AND l_linestatus <> 'F'""")
+@query("""SELECT o_orderkey AS show, l_linenumber AS person_id, l_returnflag AS department, 'job' || CAST(l_suppkey AS VARCHAR) AS job FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus <> 'F'""")
 def m9_flatten_nested(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    li = table(spark, d, "lineitem")
     job = F.concat(F.lit("job"), F.col("l_suppkey").cast("string"))
     jobs = F.array(F.struct(F.when(F.col("l_linestatus") != "F", job).otherwise("").alias("job"), F.lit("x").alias("credit_id")))
     person = F.struct(F.col("l_linenumber").cast("long").alias("id"), F.col("l_returnflag").alias("department"), jobs.alias("jobs"))
@@ -42,23 +42,25 @@ def m9_flatten_nested(spark: SparkSession, d: str) -> DataFrame:
     return crew.select("show", F.col("person_id").cast("int").alias("person_id"), "department", "job")
 
 
-@query("""SELECT l_orderkey AS show, l_linenumber AS season_number, CAST(count(*) AS INTEGER) AS episodes FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY l_orderkey, l_linenumber""")
+@query("""SELECT l_orderkey AS show, l_linenumber AS season_number, CAST(count(*) AS INTEGER) AS episodes FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def s5_appended_seasons(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_orderkey % 10 = 1")
+    li = table(spark, d, "lineitem")
     season = li.groupBy("l_orderkey", "l_linenumber").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("l_suppkey").alias("id"))).alias("episodes"))).alias("body"))
     member = F.concat(F.lit('"season/'), F.col("l_linenumber").cast("string"), F.lit('":'), F.col("body"))
     docs = season.groupBy(F.col("l_orderkey").alias("show")).agg(F.concat(F.lit('{"name":"x",'), F.array_join(F.collect_list(member), ","), F.lit("}")).alias("doc"))
     return payload.appended_seasons(docs, "show", "doc").select("show", "season_number", F.size("season.episodes").alias("episodes"))
 
 
-@query("""SELECT p_partkey AS position, CASE WHEN p_partkey % 7 IN (1, 2) THEN NULL ELSE p_partkey END AS id, CASE WHEN p_partkey % 7 = 1 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 7 IN (1, 3, 4) THEN NULL ELSE p_retailprice END AS popularity,
-CASE p_partkey % 7 WHEN 1 THEN 'unparseable' WHEN 2 THEN 'no_id' END AS fault FROM part WHERE p_partkey % 7 <> 0""")
+@query("""SELECT p_partkey AS position, CASE p_partkey % 9 WHEN 1 THEN NULL WHEN 2 THEN 1 WHEN 6 THEN NULL ELSE p_partkey END AS id, CASE WHEN p_partkey % 9 = 1 THEN NULL ELSE p_name END AS name,
+CASE WHEN p_partkey % 9 IN (1, 3, 4) THEN NULL ELSE p_retailprice END AS popularity, CASE p_partkey % 9 WHEN 1 THEN 'unparseable' WHEN 6 THEN 'no_id' END AS fault FROM part WHERE p_partkey % 9 <> 0""")
 def s1_id_export(spark: SparkSession, d: str) -> DataFrame:
     k, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
     whole = lambda i, p: F.concat(F.lit('{"id":'), i, F.lit(',"original_name":"'), F.col("p_name"), F.lit('","popularity":'), p, F.lit("}"))
     line = (
-        F.when(k % 7 == 0, "  ").when(k % 7 == 1, F.lit('{"id": 5, "orig')).when(k % 7 == 2, whole(F.lit("true"), text("p_retailprice")))
-        .when(k % 7 == 3, whole(text("p_partkey"), F.lit("true"))).when(k % 7 == 4, whole(text("p_partkey"), F.lit('"high"'))).otherwise(whole(text("p_partkey"), text("p_retailprice")))
+        F.when(k % 9 == 0, "  ").when(k % 9 == 1, F.lit('{"id": 5, "orig')).when(k % 9 == 2, whole(F.lit("true"), text("p_retailprice")))
+        .when(k % 9 == 3, whole(text("p_partkey"), F.lit("true"))).when(k % 9 == 4, whole(text("p_partkey"), F.lit('"high"')))
+        .when(k % 9 == 5, whole(F.concat(F.lit('" '), text("p_partkey"), F.lit('"')), text("p_retailprice"))).when(k % 9 == 6, whole(F.lit('"x7"'), text("p_retailprice")))
+        .when(k % 9 == 7, whole(F.concat(text("p_partkey"), F.lit(".75")), text("p_retailprice"))).otherwise(whole(text("p_partkey"), text("p_retailprice")))
     )
     return exports.decode_export(table(spark, d, "part").select(k.alias("position"), line.alias("value")))
 
@@ -72,17 +74,17 @@ def s10_gap_windows(spark: SparkSession, d: str) -> DataFrame:
     return exports.windows(gaps, "a", "b").select("cust", "window_start", "window_end")
 
 
-_TITLE = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' (' || CAST(1990 + p_size AS VARCHAR) || ')' WHEN 1 THEN p_name || ' (US)' WHEN 2 THEN upper(p_name) ELSE p_brand END"
+_TITLE = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' (' || CAST(1990 + p_size AS VARCHAR) || ')' WHEN 1 THEN p_name || CASE WHEN p_partkey % 8 = 1 THEN ' (US)' ELSE ' (uk)' END WHEN 2 THEN upper(p_name) ELSE p_brand END"
 
 
-@query(f"""WITH t AS (SELECT p_partkey, {_TITLE} AS raw FROM part WHERE p_partkey < 200), n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(raw, '\\s*\\(\\d{{4}}\\)\\s*$', ''), '\\s*\\((?:US|UK|AU|CA|NZ)\\)\\s*$', '')) AS name, TRY_CAST(nullif(regexp_extract(raw, '\\((\\d{{4}})\\)\\s*$', 1), '') AS INTEGER) AS year FROM t),
+@query(f"""WITH t AS (SELECT p_partkey, {_TITLE} AS raw FROM part), n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(raw, '\\s*\\(\\d{{4}}\\)\\s*$', ''), '(?i)\\s*\\((?:US|UK|AU|CA|NZ)\\)\\s*$', '')) AS name, TRY_CAST(nullif(regexp_extract(raw, '\\((\\d{{4}})\\)\\s*$', 1), '') AS INTEGER) AS year FROM t),
 s AS (SELECT n.p_partkey AS title, p.p_partkey AS show_id FROM n JOIN part p ON lower(n.name) = lower(p.p_name) AND (n.year IS NULL OR n.year = 1990 + p.p_size)),
 k AS (SELECT n.p_partkey AS title, p.p_partkey AS show_id FROM n JOIN part p ON lower(n.name) = lower(p.p_brand) AND (n.year IS NULL OR n.year = 1990 + p.p_size) WHERE n.p_partkey NOT IN (SELECT title FROM s)),
 u AS (SELECT DISTINCT *, 'strict' AS method FROM s UNION ALL SELECT DISTINCT *, 'aka' FROM k)
 SELECT n.p_partkey AS title, count(DISTINCT show_id) AS n_candidates, CASE WHEN count(DISTINCT show_id) = 1 THEN min(show_id) END AS show_id, min(method) AS method FROM n LEFT JOIN u ON title = n.p_partkey GROUP BY n.p_partkey""")
 def j21_title_import(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    t = part.filter("p_partkey < 200").select(F.col("p_partkey").alias("title"), F.expr(_TITLE.replace("VARCHAR", "STRING")).alias("raw"))
+    t = part.select(F.col("p_partkey").alias("title"), F.expr(_TITLE.replace("VARCHAR", "STRING")).alias("raw"))
     t = t.select("title", titles.bare_title(F.col("raw")).alias("name"), titles.title_year(F.col("raw")).alias("year"))
     shows = part.select(F.col("p_partkey").alias("show_id"), F.col("p_name").alias("name"), (1990 + F.col("p_size")).alias("year"))
     akas = part.select(F.col("p_partkey").alias("show_id"), F.col("p_brand").alias("name"))
@@ -91,9 +93,10 @@ def j21_title_import(spark: SparkSession, d: str) -> DataFrame:
     return one.select("title", "n_candidates", F.when(F.col("n_candidates") == 1, F.col("lowest")).alias("show_id"), "method")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_linenumber END AS season, CASE WHEN l_suppkey % 9 IN (0, 1) THEN NULL ELSE CAST(l_suppkey AS INTEGER) END AS number FROM lineitem WHERE l_orderkey < 2000""")
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_suppkey % 9 IN (0, 1) THEN NULL ELSE l_linenumber END AS season, CASE WHEN l_suppkey % 9 <= 3 THEN NULL ELSE CAST(l_suppkey AS INTEGER) END AS number FROM lineitem""")
 def s11_parse_marks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_suppkey")
-    mark = F.when(k % 9 == 0, "x12").when(k % 9 == 1, F.concat(F.col("l_linenumber").cast("string"), F.lit("x"))).otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit("x"), k.cast("string")))
+    season = F.concat(F.col("l_linenumber").cast("string"), F.lit("x"))
+    mark = F.when(k % 9 == 0, "x12").when(k % 9 == 1, season).when(k % 9 == 2, F.concat(season, F.lit("Special"))).when(k % 9 == 3, F.concat(season, k.cast("string"), F.lit("b"))).otherwise(F.concat(season, k.cast("string")))
     m = titles.parse_mark(mark)
-    return table(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_suppkey", m["season"].alias("season"), m["number"].alias("number"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", m["season"].alias("season"), m["number"].alias("number"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import completion_pct
@@ -101,7 +101,9 @@ j AS (SELECT cust, string_agg('{{"id":' || part || ',"taste":"' || taste || '","
 SELECT cust, n, weight >= 10 AS enough, sha256('v1' || chr(10) || 'model' || chr(10) || '[' || body || ']') AS hash FROM j""")
 def r10_payload_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = _taste(spark, d).filter("taste IS NOT NULL")
-    capped = top_k(rows.filter("taste = 'interested'"), ["cust"], [F.desc_nulls_last("last_watched"), F.asc("part")], 50).unionByName(rows.filter("taste <> 'interested'"))
+    # one numbering that begins with the interested rows: the branch to cap and the rest are never read apart
+    order = Window.partitionBy("cust").orderBy(F.col("taste") != "interested", F.desc_nulls_last("last_watched"), "part")
+    capped = rows.withColumn("rn", F.row_number().over(order)).filter("taste <> 'interested' OR rn <= 50")
     titled = capped.join(table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name"), "part")
     row = F.struct(fold(F.col("p_name")).alias("f"), "part", "taste", "p_name")
     body = F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["part"].alias("id"), x["taste"].alias("taste"), x["p_name"].alias("title"))))

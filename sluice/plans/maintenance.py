@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import sweep_due
 from ..functions.text import fold, fold_sql
 from ..operators import merge
-from ..operators.match import tiered_match, trust_verdicts
+from ..operators.dedup import unique_only
+from ..operators.match import tiered_match, trust_verdicts, vote_tally
 from ..operators.sets import gone_and_back, snapshot_diff, union_keys
 from ..tables import table
 from .registry import query
@@ -128,8 +129,8 @@ def w5_strict_winner(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT l_partkey, l_linenumber, l_orderkey, CAST(l_shipdate AS DATE) AS air FROM lineitem),
 u AS (SELECT l_partkey, l_linenumber, l_orderkey, min(air) AS air FROM o GROUP BY ALL HAVING count(*) = 1),
-v AS (SELECT l_partkey, l_linenumber, count(*) AS n, min(l_linenumber % 4 - 1) AS lo, min(CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END) AS b FROM u WHERE l_orderkey > 0 GROUP BY 1, 2),
-s AS (SELECT DISTINCT l_partkey, l_linenumber FROM o WHERE l_orderkey > 0),
+v AS (SELECT l_partkey, l_linenumber, count(*) AS n, min(l_linenumber % 4 - 1) AS lo, min(CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END) AS a, max(CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END) AS b FROM u GROUP BY 1, 2),
+s AS (SELECT DISTINCT l_partkey, l_linenumber FROM u),
 j AS (SELECT s.l_partkey, s.l_linenumber, coalesce(n, 0) AS compared, lo + a AS lo, lo + b AS hi FROM s LEFT JOIN v USING (l_partkey, l_linenumber)),
 r AS (SELECT *, CASE WHEN compared = 0 THEN 'no_overlap' WHEN compared < 2 THEN 'too_few' WHEN lo <> hi THEN 'inconsistent' WHEN abs(lo) > 1 THEN 'out_of_range' END AS reason FROM j)
 SELECT l_partkey, l_linenumber, CASE WHEN reason IS NULL THEN lo END AS offset_days, compared, reason FROM r""")
@@ -211,11 +212,11 @@ def m21_guarded_delete(spark: SparkSession, d: str) -> DataFrame:
     return merge.guarded_delete(p, p.filter("p_size > 30"), references, "p_partkey").select("p_partkey")
 
 
-@query("""WITH s AS (SELECT c_custkey, max(o_orderdate) AS last, bool_or(o_orderstatus = 'O') AS airing, count(o_orderkey) FILTER (o_orderdate >= TIMESTAMP '2001-06-01') AS recent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 3 = 0 GROUP BY c_custkey),
+@query("""WITH s AS (SELECT c_custkey, max(o_orderdate) AS last, bool_or(o_orderstatus = 'O') AS airing, count(o_orderkey) FILTER (o_orderdate >= TIMESTAMP '2001-06-01') AS recent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'F' GROUP BY c_custkey),
 f AS (SELECT c_custkey, last IS NULL AS never, recent > 0 AS changed, coalesce(airing, false) AS airing, c_custkey % 7 = (DATE '2000-01-01' - DATE '1970-01-01') % 7 AS swept FROM s)
 SELECT * FROM f WHERE never OR changed OR airing OR swept""")
 def r15_due_list(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    o = table(spark, d, "orders").filter("o_orderstatus <> 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max("o_orderdate").alias("last"), F.bool_or(F.col("o_orderstatus") == "O").alias("airing"), F.count_if(F.expr("o_orderdate >= TIMESTAMP_NTZ '2001-06-01'")).alias("recent"))
     s = table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
     flags = s.select("c_custkey", F.col("last").isNull().alias("never"), F.coalesce(F.col("recent") > 0, F.lit(False)).alias("changed"), F.coalesce("airing", F.lit(False)).alias("airing"), sweep_due(F.col("c_custkey"), F.expr("DATE '2000-01-01'")).alias("swept"))
@@ -226,15 +227,17 @@ _SIDES = """l AS (SELECT l_orderkey * 10 + l_linenumber AS lid, l_orderkey AS k,
 r AS (SELECT l_orderkey * 10 + l_linenumber AS rid, l_orderkey AS k, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey) = 1)"""
 
 
-def _tier_sql(n: int, keys: str, before: int) -> str:
-    gone = "".join(f" AND lid NOT IN (SELECT lid FROM t{i})" for i in range(before))
-    taken = "".join(f" AND rid NOT IN (SELECT rid FROM t{i})" for i in range(before))
-    left = f"SELECT {keys}, min(lid) AS lid FROM l WHERE true{gone} GROUP BY {keys} HAVING count(*) = 1"
-    right = f"SELECT {keys}, min(rid) AS rid FROM r WHERE true{taken} GROUP BY {keys} HAVING count(*) = 1"
-    return f"t{n} AS (SELECT lid, rid FROM ({left}) JOIN ({right}) USING ({keys}))"
+def _tier_sql(n: int, keys: str) -> str:
+    """Candidates of a tier, unique on both sides, and those of them that earlier tiers leave free."""
+    side = lambda name, own: f"SELECT {keys}, min({own}) AS {own} FROM {name} GROUP BY {keys} HAVING count(*) = 1"
+    free = "".join(f" AND lid NOT IN (SELECT lid FROM t{i}) AND rid NOT IN (SELECT rid FROM t{i})" for i in range(n))
+    return f"t{n} AS (SELECT lid, rid FROM ({side('l', 'lid')}) JOIN ({side('r', 'rid')}) USING ({keys}) WHERE true{free})"
 
 
-@query(f"WITH {_SIDES}, {_tier_sql(0, 'k, s', 0)}, {_tier_sql(1, 'k', 1)}, {_tier_sql(2, 'p', 2)} SELECT lid, rid, 'order_and_supplier' AS tier FROM t0 UNION ALL SELECT lid, rid, 'order' FROM t1 UNION ALL SELECT lid, rid, 'part' FROM t2")
+@query(
+    f"WITH {_SIDES}, {_tier_sql(0, 'k, s')}, {_tier_sql(1, 'k')}, {_tier_sql(2, 'p')} "
+    "SELECT lid, rid, 'order_and_supplier' AS tier FROM t0 UNION ALL SELECT lid, rid, 'order' FROM t1 UNION ALL SELECT lid, rid, 'part' FROM t2"
+)
 def r18_tiered_match(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
 
@@ -253,14 +256,16 @@ def a28_percent_of_total(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("pct", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
-@query(f"""WITH v AS (SELECT {fold_sql("p_name")} AS f, p_brand, count(*) AS votes FROM part GROUP BY 1, 2), r AS (SELECT *, sum(votes) OVER (PARTITION BY f) AS total, row_number() OVER (PARTITION BY f ORDER BY votes DESC, p_brand) AS rn, lead(votes) OVER (PARTITION BY f ORDER BY votes DESC, p_brand) AS next FROM v)
-SELECT f AS title, p_brand, votes, CAST(total AS BIGINT) AS total FROM r WHERE rn = 1 AND votes >= 2 AND (next IS NULL OR next < votes) AND votes * 10 >= total""")
+@query(f"""WITH w AS (SELECT DISTINCT p_brand AS owner, {fold_sql("p_name")} AS title FROM part WHERE p_size <= 25), e AS (SELECT p_brand AS other, {fold_sql("p_name")} AS title FROM part WHERE p_size > 40),
+h AS (SELECT title, other, count(*) AS times FROM e WHERE title <> '' GROUP BY 1, 2), m AS (SELECT owner, count(DISTINCT title) AS matched FROM w JOIN h USING (title) GROUP BY owner),
+v AS (SELECT owner, other, count(*) AS votes FROM w JOIN h USING (title) WHERE times = 1 AND other <> owner GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY owner ORDER BY votes DESC) AS rk, count(*) OVER (PARTITION BY owner, votes) AS level FROM v)
+SELECT owner, other, votes FROM r JOIN m USING (owner) WHERE rk = 1 AND level = 1 AND votes >= 2 AND votes * 10 >= matched""")
 def a24_vote_tally(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "part").groupBy(fold(F.col("p_name")).alias("title"), "p_brand").agg(F.count("*").alias("votes"))
-    w = Window.partitionBy("title")
-    order = w.orderBy(F.desc("votes"), "p_brand")
-    r = v.withColumn("total", F.sum("votes").over(w)).withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("votes").over(order))
-    return r.filter("rn = 1 AND votes >= 2 AND (next IS NULL OR next < votes) AND votes * 10 >= total").select("title", "p_brand", "votes", "total")
+    """A tenth of the titles is enough here: a brand's titles are spread over all brands."""
+    p = table(spark, d, "part").select("p_brand", "p_size", fold(F.col("p_name")).alias("title"))
+    wanted = p.filter("p_size <= 25").select(F.col("p_brand").alias("owner"), "title")
+    elsewhere = p.filter("p_size > 40").select(F.col("p_brand").alias("other"), "title")
+    return vote_tally(wanted, elsewhere, "owner", "title", "other", share=0.1)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -268,9 +273,13 @@ def a29_uniqueness_violations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("""SELECT l_orderkey, first(delta ORDER BY n DESC, delta) AS modal FROM (SELECT a.l_orderkey, b.l_linenumber - a.l_linenumber AS delta, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'R' GROUP BY 1, 2) GROUP BY l_orderkey""")
+@query("""WITH a AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2 HAVING count(*) = 1),
+p AS (SELECT l_orderkey, b.n - a.n AS delta, count(*) AS n FROM a JOIN b USING (l_orderkey, l_suppkey) GROUP BY 1, 2) SELECT l_orderkey, first(delta ORDER BY n DESC, delta) AS modal FROM p GROUP BY l_orderkey""")
 def w11_modal_offset(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    a, b = li.filter("l_returnflag = 'A'").alias("a"), li.filter("l_returnflag = 'R'").alias("b")
-    n = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).groupBy(F.col("a.l_orderkey").alias("l_orderkey"), (F.col("b.l_linenumber") - F.col("a.l_linenumber")).alias("delta")).agg(F.count("*").alias("n"))
+    """Evidence pairs are one to one (a supplier that stands once on either side), so no order makes all its pairs."""
+    keys = ["l_orderkey", "l_suppkey"]
+    li = table(spark, d, "lineitem").select(*keys, "l_linenumber", (F.col("l_returnflag") == "A").alias("left"))
+    side = lambda rows, name: unique_only(rows.select(*keys, F.col("l_linenumber").alias(name)), keys)
+    pairs = side(li.filter("left"), "a").join(side(li.filter("NOT left"), "b"), keys)
+    n = pairs.groupBy("l_orderkey", (F.col("b") - F.col("a")).alias("delta")).agg(F.count("*").alias("n"))
     return n.groupBy("l_orderkey").agg(F.min_by("delta", F.struct(-F.col("n"), "delta")).alias("modal"))
