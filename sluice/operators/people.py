@@ -35,6 +35,24 @@ def current_recommendations(sets: DataFrame, rows: DataFrame, excluded: DataFram
     return top_k(mine, [user], [F.asc(rank)], most)
 
 
+#: Labels of gender codes.
+GENDERS = {1: "Female", 2: "Male", 3: "Non-Binary"}
+
+
+def search_users(users: DataFrame, blocks: DataFrame, asked: str, me: int, most: int = 20, shortest: int = 2) -> DataFrame:
+    """Verified users (id, name, handle, email, verified) with the text in name or handle, or with it as their address; exact tells the handle's owner, who comes first.
+
+    Not oneself, nor whom one has blocked or is blocked by (a, b). Texts shorter than two characters find nobody.
+    """
+    asked = asked.strip().lower()
+    if len(asked) < shortest:
+        return users.withColumn("exact", F.lit(False)).limit(0)
+    hidden = symmetrise(blocks, "a", "b").filter(F.col("me") == me).select(F.col("other").alias("id"))
+    like = F.contains(F.lower("name"), F.lit(asked)) | F.contains(F.lower("handle"), F.lit(asked)) | (F.lower("email") == asked)
+    hits = users.filter(F.col("verified") & like & (F.col("id") != me)).join(hidden, "id", "left_anti")
+    return hits.withColumn("exact", F.lower("handle") == asked).orderBy(F.desc("exact"), "name", "id").limit(most)
+
+
 #: Titles from which an answer is judged, and the shares of unresolved and of excluded ones that it may have.
 JUDGED, UNRESOLVED, EXCLUDED = 4, 0.5, 0.9
 

@@ -1,6 +1,6 @@
 """Named queries on the star-schema tables, each beside its SQL."""
 
-from . import activity, browse, catalog, decode, library, maintenance
+from . import account, activity, browse, catalog, decode, ingest, library, listing, maintenance, orphans, writes
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "activity", "browse", "catalog", "decode", "library", "maintenance"]
+__all__ = ["QUERIES", "SQL", "account", "activity", "browse", "catalog", "decode", "ingest", "library", "listing", "maintenance", "orphans", "writes"]

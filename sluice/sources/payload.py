@@ -68,3 +68,38 @@ def credit_scope(episodes: DataFrame, key: str, entries: str, usable: Column) ->
     """Episodes whose credits a payload refreshes: null entries are left alone, an empty list clears, a list without a usable entry is left alone."""
     some = F.exists(entries, lambda x: F.coalesce(usable(x), F.lit(False)))
     return episodes.filter(F.col(entries).isNotNull() & ((F.size(entries) == 0) | some)).select(key)
+
+
+# --- a whole series document ---
+
+_COMPANY = "struct<id:long,name:string,logo_path:string,origin_country:string>"
+_NAMED = "array<struct<id:long,name:string>>"
+_TITLED = "struct<results:array<struct<iso_3166_1:string,title:string,type:string>>>"
+#: A null namespace is absent from the document, an empty list in it is an authoritative nothing.
+SERIES = f"""struct<id:long,name:string,original_name:string,original_language:string,overview:string,tagline:string,status:string,type:string,homepage:string,
+ first_air_date:string,last_air_date:string,in_production:boolean,adult:boolean,popularity:double,vote_average:double,vote_count:int,number_of_seasons:int,number_of_episodes:int,poster_path:string,backdrop_path:string,
+ episode_run_time:array<int>,origin_country:array<string>,languages:array<string>,genres:{_NAMED},networks:array<{_COMPANY}>,production_companies:array<{_COMPANY}>,
+ created_by:array<struct<id:long,name:string,credit_id:string>>,production_countries:array<struct<iso_3166_1:string,name:string>>,spoken_languages:array<struct<iso_639_1:string,name:string>>,
+ last_episode_to_air:struct<id:long,season_number:int,episode_number:int,air_date:string>,next_episode_to_air:struct<id:long,season_number:int,episode_number:int,air_date:string>,
+ seasons:array<struct<id:long,season_number:int,name:string,air_date:string,episode_count:int,vote_average:double,poster_path:string>>,
+ external_ids:struct<imdb_id:string,tvdb_id:long>,alternative_titles:{_TITLED},content_ratings:struct<results:array<struct<iso_3166_1:string,rating:string>>>,
+ translations:struct<translations:array<struct<iso_3166_1:string,iso_639_1:string,data:struct<name:string,overview:string>>>>,images:struct<posters:array<struct<file_path:string,vote_average:double>>,backdrops:array<struct<file_path:string,vote_average:double>>>,
+ videos:struct<results:array<struct<id:string,key:string,site:string,type:string>>>,keywords:struct<results:{_NAMED}>,episode_groups:struct<results:array<struct<id:string,name:string,type:int>>>,
+ recommendations:struct<results:array<struct<id:long,name:string>>>,aggregate_credits:{AGGREGATE},`watch/providers`:struct<results:{PROVIDERS}>>"""
+_TEXTS = ["name", "original_name", "original_language", "overview", "tagline", "status", "type", "homepage", "poster_path", "backdrop_path"]
+_DATES = ["first_air_date", "last_air_date"]
+
+
+def series(payloads: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, s): whole series documents. Keys that the schema lacks are ignored, empty texts are null, and dates are dates; season/N members are for appended_seasons()."""
+    s = F.from_json(body, SERIES.replace("\n", ""))
+    out = payloads.select(key, s.alias("s")).filter("s.id IS NOT NULL")
+    for c in _TEXTS:
+        out = out.withColumn("s", F.col("s").withField(c, empty_to_null(F.col(f"s.{c}"))))
+    for c in _DATES:
+        out = out.withColumn("s", F.col("s").withField(c, F.to_date(empty_to_null(F.col(f"s.{c}")))))
+    pointers = ["last_episode_to_air", "next_episode_to_air"]
+    for c in pointers:
+        moved = F.col(f"s.{c}").withField("air_date", F.to_date(empty_to_null(F.col(f"s.{c}.air_date"))))
+        out = out.withColumn("s", F.col("s").withField(c, F.when(F.col(f"s.{c}").isNotNull(), moved)))
+    return out
