@@ -1,9 +1,31 @@
-"""Lazy readers of the star-schema tables."""
+"""Lazy readers of the star-schema tables, and tables written in between."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """df, written once to the folder that driver and executors share (spark.checkpoint.dir) and read from there.
+
+    What several branches of a plan need is then computed once, and the lineage
+    ends there. Only in local mode a folder of this machine does where the
+    setting is missing.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/sluice/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
