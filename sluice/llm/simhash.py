@@ -22,7 +22,8 @@ keep_first() does the same with other fingerprints: near is what the share of
 equal bits of 256-bit SimHashes of the distinct five-word shingles says is a
 Jaccard similarity of 0.8 or more (simhash_core.wide_distance: with a standard
 deviation's leave), and what the plan is made for are SimHashes of the distinct
-words, within 8 of 64 bits, since few edits change few words but many shingles.
+words, within 4 of 64 bits, since few edits change few words but many shingles.
+A pair whose words differ more is not found: see the README for how many.
 
 Null and empty texts have fingerprint zero and are linked like any other.
 Repeated rows keep their rows. A null doc_id is never a component's smallest id
@@ -46,7 +47,7 @@ from .components import connected_components
 #: Fingerprints that the plan is estimated from.
 SAMPLE = 4096
 #: Rows under one key beyond which it is dealt to several tasks.
-HOT = 2048
+HOT = 16_384
 #: Keys that may be frequent: such as over this part of all rows share.
 COMMON = 50_000
 

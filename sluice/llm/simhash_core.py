@@ -57,7 +57,7 @@ def fingerprint(data: bytes | None) -> int:
 #: Words of a shingle of the wide fingerprint, its 64-bit words, and the least similarity that counts as near.
 WIDE_WORDS, WIDE, SIMILARITY = 5, 4, 0.8
 #: Bits that the word fingerprints of near texts differ in at most.
-WORD_DISTANCE = 8
+WORD_DISTANCE = 4
 
 
 def sketch(data: bytes | None) -> tuple[int, bytes]:
@@ -190,8 +190,8 @@ def flips(bits: list[int], threshold: int) -> list[int]:
 
 # --- verification inside one partition, sorted by key ---
 
-#: Rows of a run that give all their links, rows compared with all others at once, and links a row from which a run counts as dense.
-_SMALL, _ROWS, _DENSE = 32, 256, 8
+#: Rows of a run that give all their links, pairs compared at once, and links a row from which a run counts as dense.
+_SMALL, _PAIRS, _DENSE = 32, 1 << 18, 8
 
 
 class Verifier:
@@ -250,8 +250,9 @@ def _run_links(own: np.ndarray, probes: np.ndarray, verify: Verifier) -> tuple[n
     """Links within one run, as pairs of row numbers."""
     rows = np.r_[own, probes]
     left, right, found = [own[:0]], [own[:0]], 0
-    for k in range(0, len(own), _ROWS):
-        block = own[k : k + _ROWS]
+    step = max(1, _PAIRS // len(rows))
+    for k in range(0, len(own), step):
+        block = own[k : k + step]
         i, j = np.nonzero(np.triu(verify.near(block[:, None], rows[None, k:]), 1))
         found += len(i)
         if found > _DENSE * len(rows):
