@@ -43,7 +43,7 @@ from . import secret_core as core
 from .common import discard, id_crc, materialise, read_table, text_groups
 
 #: Words and transitions that a model holds at most, words that a task holds while it counts.
-MOST, _HELD = 300_000, 200_000
+MOST, _HELD = 150_000, 100_000
 THRESHOLD = 0.5
 #: Documents and findings of the corpus that a forest learns from at most; longer values are left to the patterns.
 DOCS, FINDINGS, _LONGEST = 1000, 2000, 4096
