@@ -87,10 +87,8 @@ def j21_title_import(spark: SparkSession, d: str) -> DataFrame:
     t = part.select(F.col("p_partkey").alias("title"), F.expr(_TITLE.replace("VARCHAR", "STRING")).alias("raw"))
     t = t.select("title", titles.bare_title(F.col("raw")).alias("name"), titles.title_year(F.col("raw")).alias("year"))
     shows = part.select(F.col("p_partkey").alias("show_id"), F.col("p_name").alias("name"), (1990 + F.col("p_size")).alias("year"))
-    akas = part.select(F.col("p_partkey").alias("show_id"), F.col("p_brand").alias("name"))
-    hits = t.select("title").join(titles.candidates(t, shows, akas), "title", "left")
-    one = hits.groupBy("title").agg(F.countDistinct("show_id").alias("n_candidates"), F.min("show_id").alias("lowest"), F.min("method").alias("method"))
-    return one.select("title", "n_candidates", F.when(F.col("n_candidates") == 1, F.col("lowest")).alias("show_id"), "method")
+    akas = part.select(F.col("p_partkey").alias("show_id"), F.col("p_brand").alias("name"), (1990 + F.col("p_size")).alias("year"))
+    return titles.resolved(t, shows, akas)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_suppkey % 9 IN (0, 1) THEN NULL ELSE l_linenumber END AS season, CASE WHEN l_suppkey % 9 <= 3 THEN NULL ELSE CAST(l_suppkey AS INTEGER) END AS number FROM lineitem""")
