@@ -68,11 +68,18 @@ def reconciled_delete(rows: DataFrame, doomed: DataFrame, references: Sequence[D
 
 
 def collapse_events(events: DataFrame, marks: DataFrame, episodes: DataFrame, covered: Column) -> DataFrame:
-    """Events without those of episodes that a mark covers. marks has (actor, show, season or null), episodes (episode, show, season); covered tells which episodes a mark speaks for."""
-    owned = episodes.filter(covered).select(F.col("episode").alias("target"), "show", "season")
-    m = marks.select("actor", "show", F.col("season").alias("_season"))
-    gone = owned.join(m, "show").filter(F.col("_season").isNull() | (F.col("_season") == F.col("season"))).select("actor", "target").distinct()
-    single = events.filter("verb = 'watched_episode'").join(gone, ["actor", "target"], "left_anti").select(events.columns)
+    """Events without those of episodes that a mark covers. marks has (actor, show, season or null), episodes (episode, show, season); covered tells which episodes a mark speaks for.
+
+    Each (actor, episode) that has events looks up its season and then its
+    actor's marks; what else a mark covers is not spelled out.
+    """
+    watched = events.filter("verb = 'watched_episode'")
+    owned = episodes.filter(covered).select(F.col("episode").alias("target"), "show", F.explode(F.array("season", F.lit(None))).alias("_season")).distinct()
+    m = marks.select("actor", "show", F.col("season").alias("_marked")).distinct().alias("m")
+    asked = watched.select("actor", "target").distinct().join(owned, "target").alias("a")
+    on = (F.col("a.actor") == F.col("m.actor")) & (F.col("a.show") == F.col("m.show")) & F.col("a._season").eqNullSafe(F.col("m._marked"))
+    gone = asked.join(m, on, "left_semi").select("actor", "target").distinct()
+    single = watched.join(gone, ["actor", "target"], "left_anti").select(events.columns)
     return events.filter("verb <> 'watched_episode'").unionByName(single)
 
 
