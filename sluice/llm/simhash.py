@@ -48,6 +48,8 @@ from .components import connected_components
 SAMPLE = 4096
 #: Rows under one key beyond which it is dealt to several tasks.
 HOT = 16_384
+#: Longs of the bitmap that tells keep_first() which rows surely stay; four rows that go for each, until there are this many.
+SLOTS = 1 << 20
 #: Keys that may be frequent: such as over this part of all rows share.
 COMMON = 50_000
 
@@ -209,24 +211,37 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row for each group of copies and near copies: one with its smallest doc_id (null ids come last).
 
-    Rows that go are looked up by doc_id and text in a narrow table of what goes,
-    so where that is small no text is shuffled. Of the texts with the smallest
+    Rows that go are looked up by doc_id and text in a narrow table of what goes.
+    A bitmap of hashes of that table, of bounded size, goes to all tasks first;
+    only rows that it doesn't clear meet the table, so few texts are shuffled
+    whatever the sizes. Of the texts with the smallest
     doc_id the one with the smallest MD5 stays, and of rows with the same doc_id
     and text one, by the hash of all columns.
     """
-    id_name, key, n, row = unused(docs.columns, "kept_id", "text_key", "rows", "row")
+    id_name, key, n, row, place, slot, bits = unused(docs.columns, "kept_id", "text_key", "rows", "row", "place", "slot", "bits")
     groups = near_groups(spark, docs, id_col, text_col)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("kept"))
     pairs = groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.bool_or(stays).alias("stays"))
     pairs = pairs.filter("NOT stays OR n > 1").select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key), F.when(F.col("stays"), F.col("n")).alias(n))
     pairs, _ = materialise(spark, pairs, "simhash-gone")
 
+    slots = min(SLOTS, pairs.count() // 4 + 1)
+    hashed = lambda x: F.pmod(F.xxhash64(x, F.col(key)), F.lit(64 * slots))
+    marked = pairs.select(hashed(F.col(id_name)).alias(place)).select(F.shiftrightunsigned(place, 6).alias(slot), F.expr(f"shiftleft(1L, CAST(`{place}` % 64 AS INT))").alias(bits))
+    bitmap = F.broadcast(marked.groupBy(slot).agg(F.bit_or(bits).alias(bits)))
+
+    def tested(how: str) -> DataFrame:
+        """docs with key that the bitmap doesn't clear (left_semi), or that it does (left_anti)."""
+        keyed = docs.withColumn(key, _text_key(text_col)).withColumn(place, hashed(F.col(f"`{id_col}`").cast("long")))
+        on = (F.shiftrightunsigned(keyed[place], 6) == bitmap[slot]) & (F.getbit(bitmap[bits], (keyed[place] % 64).cast("int")) == 1)
+        return keyed.join(bitmap, on, how).drop(place)
+
     def matching(some: DataFrame, how: str) -> DataFrame:
-        keyed = docs.withColumn(key, _text_key(text_col))
+        keyed = tested("left_semi")
         on = keyed[id_col].cast("long").eqNullSafe(some[id_name]) & (keyed[key] == some[key])
         return keyed.join(some.select(id_name, key), on, how).select(*[keyed[f"`{c}`"] for c in docs.columns], keyed[key])
 
-    once = matching(pairs, "left_anti").select(docs.columns)
+    once = tested("left_anti").select(docs.columns).unionByName(matching(pairs, "left_anti").select(docs.columns))
     again = pairs.filter(F.col(n).isNotNull())
     if again.isEmpty():
         return once

@@ -932,3 +932,34 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, real):
 
 def test_each_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and Row
+
+
+def test_keep_first_shuffles_few_texts_of_rows_that_stay(spark, monkeypatch):
+    texts = [(k, f"text {k} " + " ".join(f"w{k}x{j}" for j in range(40))) for k in range(600)]
+    rows = spark.createDataFrame(texts + [(1000 + k, texts[k][1]) for k in range(60)] + [(7, texts[7][1]), (None, None)], "doc_id long, text string")
+    want = sorted([*map(tuple, texts), (None, None)], key=str)
+    stays = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_first(spark, rows)
+        assert sorted(map(tuple, kept.collect()), key=str) == want
+        plan = kept._jdf.queryExecution().executedPlan()
+        todo, most = [plan], 0
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            elif kind == "ShuffleExchangeExec" and "text#" in node.output().mkString(" "):
+                most = max(most, node.metrics().get("shuffleRecordsWritten").get().value())
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+        assert 0 < most < 200
+        monkeypatch.setattr(simhash, "SLOTS", 1)  # a bitmap that clears next to nothing loses nothing
+        assert sorted(map(tuple, simhash.keep_first(spark, rows).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", stays)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
